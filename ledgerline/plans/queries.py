@@ -38,3 +38,158 @@ def query(name: str):
 def q_uninvoiced_worklist(t: Tables) -> DataFrame:
     """FIL1: arrival lines with uninvoiced quantity, ordered by arrival date."""
     return worklist.uninvoiced_worklist(t)
+
+
+# ---------------------------------------------------------------------------
+# worklist, facets, look-ups
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ledgerline.operators import details, rates, reports, terms  # noqa: E402
+from ledgerline.operators.joins import active  # noqa: E402
+
+# A filter set of the kind the worklist page sends (FIL2).
+SAMPLE_FILTERS = {
+    "vendor_types": ["External"],
+    "creators": ["user1", "user2", "user3", "user4"],
+    "arrival_date_from": "1996-01-01",
+    "arrival_date_to": "1999-12-31",
+    "created_date_from": "1996-06-01",
+}
+
+
+@query("uninvoiced_worklist_filtered")
+def q_worklist_filtered(t: Tables) -> DataFrame:
+    """FIL2: the worklist under an AND of optional list and date-range filters."""
+    return worklist.uninvoiced_worklist(t, SAMPLE_FILTERS)
+
+
+@query("filter_options")
+def q_filter_options(t: Tables) -> DataFrame:
+    """SET1: distinct facet values of the worklist as (facet, code, label)."""
+    return worklist.filter_options(t)
+
+
+@query("pending_count")
+def q_pending_count(t: Tables) -> DataFrame:
+    """AGG3: COUNT(DISTINCT) arrival lines still to invoice."""
+    return worklist.pending_count(t)
+
+
+@query("invoice_details")
+def q_invoice_details(t: Tables) -> DataFrame:
+    """JOI3: invoice-building details for every arrival line on the worklist."""
+    ids = worklist.uninvoiced_worklist(t, ordered=False).select("can_line_id")
+    return details.invoice_details(t, ids)
+
+
+@query("po_line_summary")
+def q_po_line_summary(t: Tables) -> DataFrame:
+    """JOI6/AGG1/AGG2: legacy, new and remaining quantity of every worklist PO line."""
+    ids = worklist.uninvoiced_worklist(t, ordered=False).select("product_purchase_order_id")
+    return details.po_line_summary(t, ids)
+
+
+# ---------------------------------------------------------------------------
+# reports
+# ---------------------------------------------------------------------------
+
+@query("recent_invoices")
+def q_recent_invoices(t: Tables) -> DataFrame:
+    """SRT2: the 100 newest invoices."""
+    return reports.recent_invoices(t, 100)
+
+
+@query("invoice_by_id")
+def q_invoice_by_id(t: Tables) -> DataFrame:
+    """FIL9: invoice records for every invoice that has an active attachment link."""
+    ids = active(t.purchase_invoice_medias).select("purchase_invoice_id")
+    return reports.invoices_by_id(t, ids)
+
+
+@query("invoice_lines")
+def q_invoice_lines(t: Tables) -> DataFrame:
+    """FIL10: line items of all invoices."""
+    return reports.invoice_lines(t)
+
+
+@query("vendor_summary")
+def q_vendor_summary(t: Tables) -> DataFrame:
+    """AGG8: per vendor and currency, with SUM/AVG DISTINCT amounts."""
+    return reports.vendor_summary(t)
+
+
+@query("vendor_summary_by_invoice")
+def q_vendor_summary_by_invoice(t: Tables) -> DataFrame:
+    """AGG8 variant: each invoice counted once, inside an invoice-date range (FIL6)."""
+    return reports.vendor_summary(t, "1996-01-01", "2000-12-31", dedup="invoice")
+
+
+@query("aging_report")
+def q_aging_report(t: Tables) -> DataFrame:
+    """SRT3/FIL7/WIN2: open invoices, one per number, most overdue first."""
+    return reports.aging_report(t)
+
+
+@query("today_by_currency")
+def q_today(t: Tables) -> DataFrame:
+    """AGG4: invoices created on the as-of date per currency."""
+    return reports.today_by_currency(t)
+
+
+@query("month_by_currency")
+def q_month(t: Tables) -> DataFrame:
+    """AGG5: invoices created in the as-of month per currency."""
+    return reports.month_by_currency(t)
+
+
+@query("invoice_type_breakdown")
+def q_types(t: Tables) -> DataFrame:
+    """AGG6: invoices of the month by number suffix."""
+    return reports.invoice_type_breakdown(t)
+
+
+@query("dashboard")
+def q_dashboard(t: Tables) -> DataFrame:
+    """DOM15/AGG7: all dashboard statistics in one long table."""
+    return reports.dashboard(t)
+
+
+@query("max_invoice_id")
+def q_max_invoice_id(t: Tables) -> DataFrame:
+    """AGG14: highest invoice id, deleted rows included."""
+    return reports.max_invoice_id(t)
+
+
+# ---------------------------------------------------------------------------
+# payment terms and rates
+# ---------------------------------------------------------------------------
+
+@query("payment_terms")
+def q_payment_terms(t: Tables) -> DataFrame:
+    """SRT5/SCA12/SRC7: active terms with days, ordered by days and name."""
+    return terms.payment_terms_list(t)
+
+
+@query("invoice_due_dates")
+def q_due_dates(t: Tables) -> DataFrame:
+    """DOM1/SCA8-SCA13: due date, explanation and review flag of every invoice."""
+    return terms.invoice_due_dates(t)
+
+
+@query("latest_rates")
+def q_latest_rates(t: Tables) -> DataFrame:
+    """WIN3: latest active rate per currency pair."""
+    return rates.latest_rates(t)
+
+
+@query("invoice_exchange_rates")
+def q_invoice_rates(t: Tables) -> DataFrame:
+    """DOM4/DOM5/JOI10: USD and PO-to-invoice rates (inverse fallback) per invoice."""
+    return rates.invoice_exchange_rates(t)
+
+
+@query("currency_list")
+def q_currency_list(t: Tables) -> DataFrame:
+    """SRT4/FIL12: active currencies in display order."""
+    return rates.currency_list(t)
