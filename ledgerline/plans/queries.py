@@ -193,3 +193,71 @@ def q_invoice_rates(t: Tables) -> DataFrame:
 def q_currency_list(t: Tables) -> DataFrame:
     """SRT4/FIL12: active currencies in display order."""
     return rates.currency_list(t)
+
+
+# ---------------------------------------------------------------------------
+# selections (stand-in user input: rows picked from the worklist)
+# ---------------------------------------------------------------------------
+from ledgerline.operators import selections  # noqa: E402
+
+SELECTION_COLUMNS = [
+    "vendor_code", "vendor_type", "legal_entity_code", "po_number", "arrival_note_number",
+    "payment_term", "pt_code", "product_name", "product_purchase_order_id", "buying_unit_cost",
+    "uninvoiced_quantity", "true_remaining_qty", "vat_percent", "po_line_is_over_delivered",
+    "po_line_is_over_invoiced", "has_legacy_invoices",
+]
+
+
+def sample_selections(t: Tables) -> DataFrame:
+    """Two kinds of selections over the whole worklist: every purchase order's
+    pending lines (clean candidates), and every arrival month's lines (mixed
+    vendors, entities and terms). ``line_no`` is the arrival-line id."""
+    w = worklist.uninvoiced_worklist(t, ordered=False)
+    ppo = t.product_purchase_orders.select(F.col("id").alias("product_purchase_order_id"),
+                                           "purchase_order_id")
+    by_po = w.join(ppo, "product_purchase_order_id").select(
+        F.col("purchase_order_id").alias("selection_id"), F.col("can_line_id").alias("line_no"),
+        *SELECTION_COLUMNS)
+    by_month = w.select(
+        (F.lit(10 ** 12) + F.year("arrival_date") * 100 + F.month("arrival_date"))
+        .cast("long").alias("selection_id"),
+        F.col("can_line_id").alias("line_no"), *SELECTION_COLUMNS)
+    return by_po.unionByName(by_month)
+
+
+@query("selection_check")
+def q_selection_check(t: Tables) -> DataFrame:
+    """DOM2: one vendor / vendor type / entity per selection."""
+    return selections.selection_check(sample_selections(t))
+
+
+@query("po_level_check")
+def q_po_level_check(t: Tables) -> DataFrame:
+    """DOM3: PO-level verdict per selection."""
+    return selections.po_level_check(t, sample_selections(t))[0]
+
+
+@query("po_level_messages")
+def q_po_level_messages(t: Tables) -> DataFrame:
+    """DOM3: warning messages per selection, in order of appearance."""
+    return selections.po_level_check(t, sample_selections(t))[1]
+
+
+@query("selection_totals")
+def q_selection_totals(t: Tables) -> DataFrame:
+    """AGG9/AGG10: quantities, counts, value and VAT totals per selection."""
+    return selections.selection_totals(sample_selections(t))
+
+
+@query("invoice_preview")
+def q_invoice_preview(t: Tables) -> DataFrame:
+    """AGG11/WIN5: grouped preview lines with 1-based ids per selection."""
+    return selections.invoice_preview(sample_selections(t))
+
+
+@query("selection_amounts_usd")
+def q_selection_amounts(t: Tables) -> DataFrame:
+    """AGG12: selection totals converted to USD (NULL where no rate exists)."""
+    sel = sample_selections(t)
+    target = sel.select("selection_id").distinct().withColumn("invoice_currency", F.lit("USD"))
+    return selections.amounts_in_currency(t, sel, target)
