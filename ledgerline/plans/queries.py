@@ -209,6 +209,11 @@ SELECTION_COLUMNS = [
 
 
 def sample_selections(t: Tables) -> DataFrame:
+    """Stand-in selection input, built once per table set (see :func:`_build_selections`)."""
+    return t.derived("sample_selections", _build_selections)
+
+
+def _build_selections(t: Tables) -> DataFrame:
     """Two kinds of selections over the whole worklist: every purchase order's
     pending lines (clean candidates), and every arrival month's lines (mixed
     vendors, entities and terms). ``line_no`` is the arrival-line id."""
@@ -261,3 +266,87 @@ def q_selection_amounts(t: Tables) -> DataFrame:
     sel = sample_selections(t)
     target = sel.select("selection_id").distinct().withColumn("invoice_currency", F.lit("USD"))
     return selections.amounts_in_currency(t, sel, target)
+
+
+# ---------------------------------------------------------------------------
+# attachments and object listings
+# ---------------------------------------------------------------------------
+from ledgerline.functions.files import INVOICE_FILE_PREFIX  # noqa: E402
+from ledgerline.operators import attachments  # noqa: E402
+
+UPLOAD_BASE_MS = 1_700_000_000_000
+
+
+def _upload_times(t: Tables) -> DataFrame:
+    """Stand-in upload time per batch."""
+    return t.file_manifest.select("batch_id").distinct().withColumn(
+        "base_ms", F.lit(UPLOAD_BASE_MS) + F.col("batch_id") * 100_000)
+
+
+@query("file_manifest_check")
+def q_manifest_files(t: Tables) -> DataFrame:
+    """DOM12/WIN6/SCA18/SCA19: per-file upload checks with all errors listed."""
+    return attachments.manifest_check(t.file_manifest)[0]
+
+
+@query("file_batch_verdicts")
+def q_manifest_batches(t: Tables) -> DataFrame:
+    """DOM12: per-batch verdict (too many files, file errors)."""
+    return attachments.manifest_check(t.file_manifest)[1]
+
+
+@query("upload_summary")
+def q_upload_summary(t: Tables) -> DataFrame:
+    """AGG16/SCA17: count, bytes, size text and types of the accepted files per batch."""
+    return attachments.file_summary(attachments.manifest_check(t.file_manifest)[0])
+
+
+@query("prepared_files")
+def q_prepared_files(t: Tables) -> DataFrame:
+    """DOM13/SCA20/SCA21/WIN7: sanitised names, unique keys and content types."""
+    return attachments.prepare_files(t.file_manifest, _upload_times(t))
+
+
+@query("new_media_rows")
+def q_new_media_rows(t: Tables) -> DataFrame:
+    """SNK2/WIN4: media rows (ids after the current maximum) for accepted files' keys."""
+    ok = attachments.manifest_check(t.file_manifest)[0].where("is_ok").select("batch_id", "idx")
+    keys = attachments.prepare_files(t.file_manifest, _upload_times(t)) \
+        .join(ok, ["batch_id", "idx"], "left_semi")
+    return attachments.new_media_rows(t, keys, "k0", "2001-07-31 12:00:00")
+
+
+@query("invoice_attachments")
+def q_invoice_attachments(t: Tables) -> DataFrame:
+    """JOI8/SCA22/SRT9: active attachments with uploader names, newest first."""
+    return attachments.invoice_attachments(t)
+
+
+@query("object_listing")
+def q_object_listing(t: Tables) -> DataFrame:
+    """SRC2/SCA24: first 1000 keys under the invoice prefix, markers skipped."""
+    return attachments.list_files(t.object_listing, INVOICE_FILE_PREFIX, 1000)
+
+
+@query("folder_listing")
+def q_folder_listing(t: Tables) -> DataFrame:
+    """SRC3: sub-folders of the invoice prefix."""
+    return attachments.list_folders(t.object_listing, INVOICE_FILE_PREFIX)
+
+
+@query("folder_sizes")
+def q_folder_sizes(t: Tables) -> DataFrame:
+    """AGG15: bytes and object count per top-level folder."""
+    return attachments.folder_sizes(t.object_listing, 1)
+
+
+@query("invoice_file_keys")
+def q_invoice_file_keys(t: Tables) -> DataFrame:
+    """FIL11: keys under the invoice prefix vs the rest."""
+    return attachments.invoice_file_keys(t.object_listing)
+
+
+@query("orphan_objects")
+def q_orphans(t: Tables) -> DataFrame:
+    """DOM16: stored invoice files with no media row."""
+    return attachments.orphan_objects(t)

@@ -24,13 +24,48 @@ DOMAIN_TABLES = (
 _VERSION = hashlib.sha1("\n".join(standin.STANDIN_SQL.values()).encode()).hexdigest()[:10]
 
 
+def _code_version() -> str:
+    """Hash of the library sources: derived inputs are rebuilt when the code changes."""
+    h = hashlib.sha1()
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for d, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(d, f), "rb") as fh:
+                    h.update(fh.read())
+    return h.hexdigest()[:10]
+
+
 class Tables:
     """A name -> DataFrame catalog of the accounts-payable tables."""
 
-    def __init__(self, spark: SparkSession, frames: dict):
-        """``frames`` maps a name to a DataFrame or to a Parquet path read on first use."""
+    def __init__(self, spark: SparkSession, frames: dict, store: str | None = None):
+        """``frames`` maps a name to a DataFrame or to a Parquet path read on first use;
+        ``store`` is a folder (in the shared checkpoint folder) for derived inputs."""
         self.spark = spark
         self._frames = dict(frames)
+        self._store = store
+
+    def derived(self, name: str, build) -> DataFrame:
+        """An input table built from other tables by ``build(self)``, written once.
+
+        Used for stand-in inputs that several parts of a job read (e.g. a
+        table of user selections): writing it to the shared checkpoint folder
+        lets each reader scan Parquet instead of re-running the derivation.
+        """
+        if name in self._frames:
+            return self.table(name)
+        df = build(self)
+        if self._store is not None:
+            path = os.path.join(self._store, "derived-" + _code_version(), name)
+            if not _complete(self.spark, path):
+                df.write.mode("overwrite").parquet(path)
+            df = self.spark.read.parquet(path)
+        else:
+            checkpoint_root(self.spark)
+            df = df.checkpoint(eager=True)
+        self._frames[name] = df
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self.__dict__.get("_frames", {}):
@@ -47,7 +82,7 @@ class Tables:
         """A copy with one table replaced (e.g. a new snapshot after an update)."""
         frames = dict(self._frames)
         frames[name] = df
-        return Tables(self.spark, frames)
+        return Tables(self.spark, frames, self._store)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Tables":
@@ -72,7 +107,7 @@ class Tables:
             store = os.path.join(checkpoint_root(spark), "ledgerline-standin", _VERSION, tag)
             paths = {n: os.path.join(store, n) for n in standin.STANDIN_TABLES}
             if all(_complete(spark, p) for p in paths.values()):
-                return cls(spark, paths)
+                return cls(spark, paths, store)
 
         for raw in standin.RAW_TABLES:
             spark.read.parquet(os.path.join(sf_dir, f"{raw}.parquet")) \
@@ -91,7 +126,7 @@ class Tables:
                 df = spark.read.parquet(path)
             df.createOrReplaceTempView(resolve(name))
             frames[name] = df
-        return cls(spark, frames)
+        return cls(spark, frames, store)
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
