@@ -350,3 +350,42 @@ def q_invoice_file_keys(t: Tables) -> DataFrame:
 def q_orphans(t: Tables) -> DataFrame:
     """DOM16: stored invoice files with no media row."""
     return attachments.orphan_objects(t)
+
+
+# ---------------------------------------------------------------------------
+# building invoices
+# ---------------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+from ledgerline.operators import invoicing  # noqa: E402
+
+AS_OF = _dt.date(2001, 7, 31)
+
+
+def _build(t: Tables):
+    """Invoice requests: every purchase-order selection that passes the basic
+    check; invoice currency = PO currency, or USD for every fourth order."""
+    sel = sample_selections(t).where(F.col("selection_id") < 10 ** 12)
+    ok = selections.selection_check(sel).where("is_valid").select("selection_id")
+    first_cur = sel.groupBy("selection_id").agg(
+        F.min_by(F.substring_index("buying_unit_cost", " ", -1), "line_no").alias("po_cur"))
+    requests = ok.join(first_cur, "selection_id").select(
+        "selection_id",
+        F.when(F.col("selection_id") % 4 == 0, F.lit("USD")).otherwise(F.col("po_cur"))
+        .alias("invoice_currency"),
+        (F.col("selection_id") % 6 == 0).alias("advance_payment"))
+    lines = sel.join(ok, "selection_id", "left_semi") \
+        .select("selection_id", F.col("line_no").alias("can_line_id"))
+    return invoicing.build_invoices(t, lines, requests, AS_OF, "k0")
+
+
+@query("new_invoice_headers")
+def q_new_headers(t: Tables) -> DataFrame:
+    """DOM6/AGG13/SCA7/SCA14/WIN4/DOM4: invoice headers built from valid selections."""
+    return _build(t)[0]
+
+
+@query("new_invoice_lines")
+def q_new_lines(t: Tables) -> DataFrame:
+    """DOM6/JOI7: invoice lines (converted, VAT from the PO line) of the new invoices."""
+    return _build(t)[1]
