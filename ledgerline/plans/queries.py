@@ -389,3 +389,70 @@ def q_new_headers(t: Tables) -> DataFrame:
 def q_new_lines(t: Tables) -> DataFrame:
     """DOM6/JOI7: invoice lines (converted, VAT from the PO line) of the new invoices."""
     return _build(t)[1]
+
+
+# ---------------------------------------------------------------------------
+# mutations (stand-in requests derived from the tables)
+# ---------------------------------------------------------------------------
+from ledgerline.operators import mutations  # noqa: E402
+
+
+def _update_requests(t: Tables) -> DataFrame:
+    """Set a commercial number where it is missing and push the due date a week."""
+    pi = t.purchase_invoices.where(F.col("commercial_invoice_no").isNull())
+    return pi.select(
+        F.col("id").alias("invoice_id"),
+        F.lit(True).alias("has_commercial_invoice_no"),
+        F.concat(F.lit("CI-"), F.col("id").cast("string"), F.lit("-R")).alias("commercial_invoice_no"),
+        F.lit(False).alias("has_invoiced_date"), F.lit(None).cast("date").alias("invoiced_date"),
+        F.lit(True).alias("has_due_date"), F.date_add("due_date", 7).alias("due_date"),
+        F.lit(False).alias("has_email_to_accountant"),
+        F.lit(None).cast("int").alias("email_to_accountant"),
+        F.lit(False).alias("has_modified_date"),
+        F.lit(None).cast("timestamp").alias("modified_date"))
+
+
+def _old_invoice_ids(t: Tables) -> DataFrame:
+    return t.purchase_invoices.where(F.col("invoiced_date") < F.lit("1995-03-01").cast("date")) \
+        .select("id")
+
+
+@query("updated_invoices")
+def q_updated(t: Tables) -> DataFrame:
+    """DOM7: invoice table snapshot after header updates."""
+    return mutations.update_invoices(t, _update_requests(t), AS_OF)[0]
+
+
+@query("update_report")
+def q_update_report(t: Tables) -> DataFrame:
+    """DOM7: per-request update outcome."""
+    return mutations.update_invoices(t, _update_requests(t), AS_OF)[1]
+
+
+@query("voided_invoices")
+def q_voided(t: Tables) -> DataFrame:
+    """DOM8: invoice table snapshot after voiding early-1995 invoices."""
+    return mutations.void_invoices(t, _old_invoice_ids(t), AS_OF)[0]
+
+
+@query("purge_report")
+def q_purge(t: Tables) -> DataFrame:
+    """DOM9/JOI11/AGG17: hard-delete outcome (refused while active lines exist)."""
+    return mutations.purge_invoices(t, _old_invoice_ids(t))[1]
+
+
+@query("edit_check")
+def q_edit_check(t: Tables) -> DataFrame:
+    """DOM10: edit validation for every 2001 invoice (shifted dates)."""
+    pi = t.purchase_invoices.where(F.year("invoiced_date") == 2001)
+    edits = pi.select(F.col("id").alias("invoice_id"),
+                      F.date_add("invoiced_date", (F.col("id") % 3).cast("int")).alias("invoiced_date"),
+                      F.date_add("invoiced_date", (F.col("id") % 40 - 10).cast("int")).alias("due_date"))
+    return mutations.edit_check(t, edits, AS_OF)
+
+
+@query("removed_attachment_links")
+def q_removed_links(t: Tables) -> DataFrame:
+    """DOM11: attachment-link snapshot after removing links to every fifth media."""
+    ids = t.purchase_invoice_medias.where(F.col("media_id") % 5 == 0).select("id")
+    return mutations.remove_attachment_links(t, ids, AS_OF)[0]

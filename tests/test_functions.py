@@ -42,7 +42,7 @@ def test_large_number(spark):
 def test_format_rate(spark):
     got = one(spark, M.format_rate("r"), [(None,), (25000.0,), (15.5,), (1.25,), (0.05,),
                                           (0.0004,), (0.0,)], "r double")
-    assert got == ["N/A", "25,000.00", "15.5000", "1.250000", "0.0500", "0.0004000", "N/A"]
+    assert got == ["N/A", "25,000.00", "15.5000", "1.250000", "0.0500", "0.000400", "N/A"]
 
 
 def test_file_helpers(spark):
