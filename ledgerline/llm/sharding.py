@@ -3,8 +3,8 @@
 A record's virtual slot is a hash of its text modulo ``SLOTS``, so equal texts
 share a slot. Bytes and rows are summed per slot, and a versioned table maps
 slots to shards. Version 1 deals slots out round robin; ``rebalance`` edits a
-map into the next version by moving slots from over-full to under-full shards
-only, until shard sizes are near equal (law ``bytes``).
+map into the next version by moving slots from the fullest to the emptiest
+shard until shard sizes are near equal (law ``bytes``).
 
 A slot with more than half a shard's even share of all bytes (a group of
 copies that holds much of the corpus) is split: its records go to ``SPLIT``
@@ -50,39 +50,31 @@ def slot_of(hot: list[int], slots: int = SLOTS, split: int = SPLIT) -> Column:
 
 
 def rebalance(previous: dict[int, int], sizes: dict[int, int], shards: int) -> dict[int, int]:
-    """The next slot-to-shard map: few moves out of over-full shards into under-full ones.
+    """The next slot-to-shard map: single slots move from the fullest to the emptiest shard.
 
     ``previous`` may lack new slots or use fewer shards (when the cluster grows).
-    Works on slot totals only, never on records.
+    Each move takes the slot that comes nearest to half the gap, so the spread
+    shrinks until no slot fits. Works on slot totals only, never on records.
     """
-    target = sum(sizes.values()) / shards
-    load, members, pool = [0] * shards, [[] for _ in range(shards)], []
-    for slot in sorted(sizes):
+    load, members = [0] * shards, [set() for _ in range(shards)]
+    for slot in sorted(sizes, key=lambda s: (not 0 <= previous.get(s, -1) < shards, -sizes[s], s)):
         shard = previous.get(slot, -1)
-        if 0 <= shard < shards:
-            load[shard] += sizes[slot]
-            members[shard].append(slot)
-        else:
-            pool.append(slot)
-    result = {s: p for s, p in previous.items() if s in sizes}
-    for shard in range(shards):
-        for slot in sorted(members[shard], key=lambda s: (-sizes[s], s)):
-            if load[shard] - sizes[slot] >= target and sizes[slot]:
-                load[shard] -= sizes[slot]
-                pool.append(slot)
-    # one more small slot from each shard that is still over, so that the pool can fill gaps exactly
-    for shard in range(shards):
-        for slot in sorted(members[shard], key=lambda s: (sizes[s], s)):
-            if load[shard] <= target:
-                break
-            if slot not in pool:
-                load[shard] -= sizes[slot]
-                pool.append(slot)
-    for slot in sorted(set(pool), key=lambda s: (-sizes[s], s)):
-        shard = min(range(shards), key=lambda k: (load[k], k))
+        if not 0 <= shard < shards:
+            shard = min(range(shards), key=lambda k: (load[k], k))
         load[shard] += sizes[slot]
-        result[slot] = shard
-    return result
+        members[shard].add(slot)
+    while True:
+        high = max(range(shards), key=lambda k: (load[k], -k))
+        low = min(range(shards), key=lambda k: (load[k], k))
+        gap = load[high] - load[low]
+        slot = min((s for s in members[high] if 0 < sizes[s] < gap),
+                   key=lambda s: (abs(2 * sizes[s] - gap), s), default=None)
+        if slot is None:
+            return {s: shard for shard in range(shards) for s in members[shard]}
+        members[high].remove(slot)
+        members[low].add(slot)
+        load[high] -= sizes[slot]
+        load[low] += sizes[slot]
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS,
