@@ -38,7 +38,8 @@ def op2_warc(spark, sf_dir):
 
 def op3_suffix_array_dedup(spark, sf_dir):
     out = suffix_index.remove(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_quality(spark, sf_dir):

@@ -26,11 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import keyed, map_arrow
+from ledgerline.llm.common import NULL_ID, keyed, map_arrow
 
 U = np.uint64
+#: Buckets are at least this power of two, and about four to a shuffle partition.
 BUCKET_BITS = 9
 HOT_RUNS = 256
+#: Later copies and hot runs only pass through the buckets, in pieces of so many.
+PIECE_ROWS = 20_000
 BLOCK_TOKENS = 1 << 20
 FLUSH_ROWS = 600_000
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93))
@@ -158,7 +161,9 @@ def runs(block: Block, shape: Shape):
     stops = np.flatnonzero(np.append(fresh[1:] | ~whole[1:], True) & whole) + 1
     windows = stops - first
     run = mix(two.of(first, windows - 1 + length) + windows.astype(U))
-    return first, windows, anchors[least[first].astype(np.int64)], run, doc_of[first]
+    # the smallest of many fingerprints is small: mixed again, it spreads over the buckets evenly
+    kgram = mix(anchors[least[first].astype(np.int64)] + BASES[2])
+    return first, windows, kgram, run, doc_of[first]
 
 
 # --- columns on the wire -----------------------------------------------------------------------
@@ -215,8 +220,18 @@ _OUT = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.str
 WIRE = "bucket int, batch long, kind string, blob binary"
 
 
-def batch_rows(parts: list[dict], hot_runs: int | None = HOT_RUNS):
-    """Rows of a map task's batch, per bucket: runs (R), later copies (D), hot runs (H)."""
+def bucket_bits(spark) -> int:
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(BUCKET_BITS, (4 * parts - 1).bit_length())
+
+
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers start[i] .. start[i] + count[i] - 1, one range after another."""
+    return np.repeat(start - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+
+
+def batch_rows(parts: list[dict], bits: int, hot_runs: int | None = HOT_RUNS):
+    """Rows of a map task's batch: runs by bucket (R); later copies (D) and hot runs (H), spread."""
     c, copies = collapse(joined(parts))
     kinds = [("R", c), ("D", copies)]
     if hot_runs is not None and len(c["kgram"]):
@@ -230,9 +245,14 @@ def batch_rows(parts: list[dict], hot_runs: int | None = HOT_RUNS):
                      ("H", pick(c, hot))]
     out = []
     for kind, columns in kinds:
-        bucket = (columns["kgram"] >> U(64 - BUCKET_BITS)).astype(np.int64)
-        cuts = np.append(0, np.flatnonzero(np.diff(bucket)) + 1)
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket))):
+        n = len(columns["kgram"])
+        if kind == "R":
+            bucket = (columns["kgram"] >> U(64 - bits)).astype(np.int64)
+            cuts = np.append(0, np.flatnonzero(np.diff(bucket)) + 1)
+        else:
+            cuts = np.arange(0, n, PIECE_ROWS)
+            bucket = (columns["run"] >> U(64 - bits)).astype(np.int64)
+        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], n).tolist()):
             if hi > lo:
                 out.append({"bucket": int(bucket[lo]), "batch": int(columns["doc"][lo:hi].min()),
                             "kind": kind, "blob": pack(pick(columns, slice(lo, hi)))})
@@ -252,6 +272,8 @@ def with_bodies(docs: DataFrame) -> DataFrame:
 
 def run_batches(docs: DataFrame, shape: Shape) -> DataFrame:
     """The runs of all documents, batched per map task and bucketed by anchor."""
+    bits = bucket_bits(docs.sparkSession)
+
     def values(batches):
         parts, n = [], 0
         for batch in batches:
@@ -260,41 +282,111 @@ def run_batches(docs: DataFrame, shape: Shape) -> DataFrame:
                 parts.append(entries(block, shape, doc, tag))
                 n += len(parts[-1]["kgram"])
                 if n >= FLUSH_ROWS:
-                    yield batch_rows(parts)
+                    yield batch_rows(parts, bits)
                     parts, n = [], 0
         if n:
-            yield batch_rows(parts)
+            yield batch_rows(parts, bits)
 
     return map_arrow(with_bodies(docs), values, WIRE)
 
 
-# --- windows one by one --------------------------------------------------------------------------
+# --- flagged runs: their text, or their windows one by one -----------------------------------------
+
+def flags_of(column: pa.Array):
+    """Per row of a list<struct> column, its fields as arrays."""
+    offsets = column.offsets.to_numpy()
+    fields = [f.to_numpy(zero_copy_only=False) for f in column.values.flatten()]
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    for ok, lo, hi in zip(valid, offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield [f[lo:hi] for f in fields] if ok and hi > lo else None
+
 
 def window_batches(flagged: DataFrame, shape: Shape) -> DataFrame:
     """The single windows of the flagged runs of (``_d``, ``_t``, ``packed`` body, ``runs``)."""
+    bits = bucket_bits(flagged.sparkSession)
+
     def values(batches):
         parts, n = [], 0
         for batch in batches:
-            for d, t, packed, flags in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                tokens = document_tokens(inflate(packed), shape)
-                one, two = Rolling(tokens[0], 0), Rolling(tokens[1], 1)
-                first = np.array([r["start"] for r in flags], np.int64)
-                count = np.array([r["n"] for r in flags], np.int64)
-                at = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+            for d, t, packed, (first, count, _) in zip(*(batch.column(i).to_pylist() for i in range(3)),
+                                                       flags_of(batch.column(3))):
+                one, two = (Rolling(v, i) for i, v in enumerate(document_tokens(inflate(packed), shape)))
+                at = ranges(first, count)
                 k = len(at)
                 parts.append(dict(zip(NAMES, (
                     mix(one.of(at, shape.length)), mix(two.of(at, shape.length)), np.full(k, d, np.int64),
                     np.full(k, t, np.int32), at, np.ones(k, np.uint8)))))
                 n += k
                 if n >= FLUSH_ROWS:
-                    yield batch_rows(parts, None)
+                    yield batch_rows(parts, bits, None)
                     parts, n = [], 0
         if n:
-            yield batch_rows(parts, None)
+            yield batch_rows(parts, bits, None)
 
     return map_arrow(flagged, values, WIRE)
 
 
+REFERENCE = "bucket int, kgram binary, doc binary, tag binary, start binary, n binary, tokens binary"
+_REFERENCE_TYPES = [("kgram", U), ("doc", np.int64), ("tag", np.int32), ("start", np.int64), ("n", np.int64)]
+
+
+def reference_rows(flagged: DataFrame, shape: Shape) -> DataFrame:
+    """The flagged runs with their tokens, batched by bucket of their anchors."""
+    bits = bucket_bits(flagged.sparkSession)
+    kind = U if shape.words else np.uint8
+
+    def rows(held):
+        columns = [np.concatenate([h[i] for h in held]) for i in range(5)]
+        tokens = np.concatenate([h[5] for h in held])
+        width = columns[4] - 1 + shape.length
+        edge = np.append(0, np.cumsum(width))[:-1]
+        bucket = (columns[0] >> U(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.append(0, np.flatnonzero(np.diff(bucket[order])) + 1)
+        out = []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
+            own = order[lo:hi]
+            out.append({"bucket": int(bucket[own[0]]), "tokens": tokens[ranges(edge[own], width[own])].tobytes(),
+                        **{name: c[own].astype(t).tobytes() for (name, t), c in zip(_REFERENCE_TYPES, columns)}})
+        return pa.RecordBatch.from_pylist(out, schema=pa.schema(
+            [("bucket", pa.int32()), *((c, pa.binary()) for c, _ in _REFERENCE_TYPES), ("tokens", pa.binary())]))
+
+    def values(batches):
+        held, size = [], 0
+        for batch in batches:
+            for d, t, packed, (first, count, kgram) in zip(*(batch.column(i).to_pylist() for i in range(3)),
+                                                           flags_of(batch.column(3))):
+                body = inflate(packed)
+                tokens = document_tokens(body, shape)[0] if shape.words else np.frombuffer(body, np.uint8)
+                k, count = len(first), count.astype(np.int64)
+                own = tokens[ranges(first, count - 1 + shape.length)].astype(kind, copy=False)
+                held.append((kgram.view(U), np.full(k, d, np.int64), np.full(k, t, np.int32), first, count, own))
+                size += own.nbytes
+                if size >= 16 << 20:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return map_arrow(flagged, values, REFERENCE)
+
+
+def reference_columns(table: pa.Table, shape: Shape) -> dict:
+    """The columns of one bucket's reference rows, with the tokens and their edges."""
+    got = {name: np.concatenate([np.frombuffer(b, t) for b in table.column(name).to_pylist()])
+           for name, t in [*_REFERENCE_TYPES, ("tokens", U if shape.words else np.uint8)]}
+    got["edge"] = np.append(0, np.cumsum(got["n"] - 1 + shape.length))
+    return got
+
+
+SPANS = "_d long, _t int, start long, n int"
+
+
+def spans_table(doc, tag, start, n) -> pa.Table:
+    return pa.table({"_d": pa.array(doc, pa.int64()), "_t": pa.array(tag, pa.int32()),
+                     "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int32())})
+
+
 def document_tokens(body: bytes, shape: Shape) -> list:
     """Both value arrays of one document's tokens."""
     data = np.frombuffer(body, np.uint8)
@@ -323,9 +415,37 @@ def inflate(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """Mask of n tokens that lie in one of the ranges [first, last)."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, first, 1)
-    np.add.at(step, last, -1)
-    return np.cumsum(step[:-1]) > 0
+def gone_tokens(marks, length: int, n: int) -> np.ndarray:
+    """Mask of the n tokens in the windows of marks (first windows, counts); None: no windows."""
+    if marks is None:
+        return np.zeros(n, bool)
+    first, count = marks
+    step = np.bincount(first, minlength=n + 1) - np.bincount(first + count - 1 + length, minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
+
+
+def gone_spans(gone: np.ndarray) -> list:
+    """Maximal ranges [first, last) of a mask."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2).tolist()
+
+
+def cut_documents(docs: DataFrame, windows: DataFrame, cut, count: str) -> DataFrame:
+    """(doc_id, ``count``, n_removed, spans, kept): documents without the windows' tokens.
+
+    ``cut(body, marks)`` gives (tokens, mask of the tokens that go, kept bytes).
+    """
+    marks = windows.groupBy("_d", "_t").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    rows = deflated(docs).join(marks, ["_d", "_t"], "left").select("_d", "packed", "marks")
+
+    def values(batches):
+        for batch in batches:
+            out = [cut(inflate(p), m) for p, m in zip(batch.column(1).to_pylist(), flags_of(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([o[0] for o in out], pa.int64()),
+                 pa.array([int(o[1].sum()) for o in out], pa.int64()),
+                 pa.array([gone_spans(o[1]) for o in out], pa.list_(pa.list_(pa.int64()))),
+                 pa.array([o[2] for o in out], pa.binary())],
+                names=["_d", count, "n_removed", "spans", "kept"])
+
+    return map_arrow(rows, values, f"_d long, {count} long, n_removed long, spans array<array<long>>, kept binary") \
+        .select(F.when(F.col("_d") != NULL_ID, F.col("_d")).alias("doc_id"), count, "n_removed", "spans", "kept")

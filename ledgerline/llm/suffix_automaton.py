@@ -32,14 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import repeats as R
-from ledgerline.llm.common import NULL_ID, group_arrow, map_arrow, stored
+from ledgerline.llm.common import group_arrow, stored
 from ledgerline.llm.suffix_index import flagged_documents, scanned
 
 LENGTH = 20
 HEAD = 8
 SHAPE = R.Shape(LENGTH, HEAD, True)
-SHARD_BITS = 8
-FLUSH_RUNS = 50_000
 
 
 class SuffixAutomaton:
@@ -98,66 +96,26 @@ class SuffixAutomaton:
             last = new
 
 
-def reference_rows(flagged: DataFrame) -> DataFrame:
-    """Runs with their words' values, batched per shard of anchors."""
-    schema = "shard int, kgram binary, doc binary, tag binary, start binary, n binary, words binary"
-
-    def values(batches):
-        held = []
-        for batch in batches:
-            for d, t, packed, flags in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                tokens = R.document_tokens(R.inflate(packed), SHAPE)[0]
-                held += [(r["kgram"], d, t, r["start"], r["n"],
-                          tokens[r["start"]:r["start"] + r["n"] - 1 + LENGTH]) for r in flags]
-                if len(held) >= FLUSH_RUNS:
-                    yield _shard_batch(held)
-                    held = []
-        if held:
-            yield _shard_batch(held)
-
-    return map_arrow(flagged, values, schema)
-
-
-def _shard_batch(held: list) -> pa.RecordBatch:
-    kgram = np.array([h[0] for h in held], np.int64)
-    shard = (kgram.view(np.uint64) >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
-    rows = []
-    for s in np.unique(shard):
-        own = [held[i] for i in np.flatnonzero(shard == s)]
-        column = lambda i, t: np.array([h[i] for h in own], t).tobytes()  # noqa: E731,B023
-        rows.append({"shard": int(s), "kgram": column(0, np.int64), "doc": column(1, np.int64),
-                     "tag": column(2, np.int32), "start": column(3, np.int64), "n": column(4, np.int32),
-                     "words": np.concatenate([h[5] for h in own]).tobytes()})
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-        [("shard", pa.int32()), *((c, pa.binary()) for c in ("kgram", "doc", "tag", "start", "n", "words"))]))
-
-
 def stream_shard(table: pa.Table) -> pa.Table:
     """The repeated windows of one shard's runs: (_d, _t, start, n)."""
-    rows = table.to_pylist()
-    read = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows])
-    kgram, doc, tag = read("kgram", np.int64), read("doc", np.int64), read("tag", np.int32)
-    start, n, words = read("start", np.int64), read("n", np.int32), read("words", np.uint64)
-    edges = np.append(0, np.cumsum(n.astype(np.int64) - 1 + LENGTH))
+    c = R.reference_columns(table, SHAPE)
     out, automaton, current = [], SuffixAutomaton(), None
-    for i in np.lexsort((start, tag, doc, kgram)).tolist():
-        if kgram[i] != current:
-            automaton, current = SuffixAutomaton(), kgram[i]
-        tokens = words[edges[i]:edges[i + 1]].tolist()
+    for i in np.lexsort((c["start"], c["tag"], c["doc"], c["kgram"])).tolist():
+        if c["kgram"][i] != current:
+            automaton, current = SuffixAutomaton(), c["kgram"][i]
+        tokens = c["tokens"][c["edge"][i]:c["edge"][i + 1]].tolist()
         long = np.array(automaton.statistics(tokens)[LENGTH - 1:]) >= LENGTH
-        cuts = np.flatnonzero(np.diff(np.concatenate([[0], long.astype(np.int8), [0]])))
-        out += [(int(doc[i]), int(tag[i]), int(start[i] + a), int(b - a)) for a, b in cuts.reshape(-1, 2)]
+        out += [(int(c["doc"][i]), int(c["tag"][i]), int(c["start"][i]) + a, b - a)
+                for a, b in R.gone_spans(long)]
         automaton.add(tokens)
-    columns = list(zip(*out)) or [[], [], [], []]
-    return pa.table({"_d": pa.array(columns[0], pa.int64()), "_t": pa.array(columns[1], pa.int32()),
-                     "start": pa.array(columns[2], pa.int64()), "n": pa.array(columns[3], pa.int32())})
+    return R.spans_table(*(zip(*out) if out else ([], [], [], [])))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(_d, _t, start, n): runs of word windows that occur earlier."""
     found = stored(scanned(R.run_batches(docs, SHAPE)), "found")
-    streamed = group_arrow(
-        reference_rows(flagged_documents(found, docs, ["F"])), "shard", stream_shard, "_d long, _t int, start long, n int")
+    streamed = group_arrow(R.reference_rows(flagged_documents(found, docs, ["F"]), SHAPE), "bucket",
+                           stream_shard, R.SPANS)
     hot = scanned(R.window_batches(flagged_documents(found, docs, ["H"]), SHAPE), False)
     return (found.where("kind = 'D'").select("_d", "_t", "start", "n").union(streamed)
             .union(hot.select("_d", "_t", "start", "n")))
@@ -165,33 +123,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept): kept is the words that stay, joined by one space."""
-    marks = repeated_windows(docs).groupBy("_d", "_t").agg(
-        F.collect_list(F.struct("start", "n")).alias("marks"))
-    rows = R.deflated(docs).join(marks, ["_d", "_t"], "left").select("_d", "_t", "packed", "marks")
-
-    def cut(batches):
-        for batch in batches:
-            out = [cut_words(R.inflate(p), m) for p, m in zip(
-                batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([o["n_words"] for o in out], pa.int64()),
-                 pa.array([o["n_removed"] for o in out], pa.int64()),
-                 pa.array([o["spans"] for o in out], pa.list_(pa.list_(pa.int64()))),
-                 pa.array([o["kept"] for o in out], pa.binary())],
-                names=["_d", "n_words", "n_removed", "spans", "kept"])
-
-    return map_arrow(rows, cut, "_d long, n_words long, n_removed long, spans array<array<long>>, "
-                                "kept binary").select(
-        F.when(F.col("_d") != NULL_ID, F.col("_d")).alias("doc_id"), "n_words", "n_removed", "spans", "kept")
-
-
-def cut_words(body: bytes, marks: list | None) -> dict:
-    words = body.split()  # on \x20 and \x09-\x0D
-    if not marks:
-        return {"n_words": len(words), "n_removed": 0, "spans": [], "kept": b" ".join(words)}
-    first = np.array([m["start"] for m in marks], np.int64)
-    last = first + np.array([m["n"] for m in marks], np.int64) - 1 + LENGTH
-    gone = R.covered(first, last, len(words))
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    return {"n_words": len(words), "n_removed": int(gone.sum()), "spans": edges.reshape(-1, 2).tolist(),
-            "kept": b" ".join(w for w, g in zip(words, gone.tolist()) if not g)}
+    def cut(body, marks):
+        words = body.split()  # on \x20 and \x09-\x0D
+        gone = R.gone_tokens(marks, LENGTH, len(words))
+        return len(words), gone, b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+
+    return R.cut_documents(docs, repeated_windows(docs), cut, "n_words")

@@ -10,8 +10,8 @@ equal size class merge, so a bucket never has more than a logarithmic number of
 levels and an entry is moved a logarithmic number of times.
 
 Runs that share an anchor but not all windows (where a copied passage begins or
-ends) are compared window by window, keyed by the window's fingerprint, through
-the same index. Every byte of a window that occurs earlier is removed.
+ends) are compared window by window: their bytes are brought together by anchor
+and sorted into a dense suffix array. Every byte of a window that occurs earlier is removed.
 
 ``index_levels`` gives the index as rows that can be stored; ``scanned`` takes the
 union of stored levels and new batches.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import repeats as R
-from ledgerline.llm.common import NULL_ID, group_arrow, map_arrow, stored
+from ledgerline.llm.common import group_arrow, stored
 
 LENGTH = 100
 HEAD = 32
@@ -158,42 +158,40 @@ def flagged_documents(found: DataFrame, docs: DataFrame, kinds: list[str]) -> Da
     return R.deflated(docs).join(flags, ["_d", "_t"]).select("_d", "_t", "packed", "runs")
 
 
+def window_array(table: pa.Table) -> pa.Table:
+    """The windows of one bucket's flagged runs that occur earlier, as spans of windows.
+
+    The bucket's windows become one dense suffix array in fingerprint order,
+    in which equal windows are neighbours.
+    """
+    c = R.reference_columns(table, SHAPE)
+    own = np.repeat(np.arange(len(c["n"])), c["n"])
+    at = R.ranges(c["edge"][:-1], c["n"])
+    one, two = (R.Rolling(R.BYTE_VALUES[i][c["tokens"]], i) for i in (0, 1))
+    start = c["start"][own] + at - c["edge"][own]
+    _, later = R.collapse({"kgram": R.mix(one.of(at, LENGTH)), "run": R.mix(two.of(at, LENGTH)),
+                           "doc": c["doc"][own], "tag": c["tag"][own], "start": start, "at": at, "own": own})
+    order = np.argsort(later["at"], kind="stable")
+    at, own = later["at"][order], later["own"][order]
+    first = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(own) != 0))) if len(at) else at
+    return R.spans_table(c["doc"][own[first]], c["tag"][own[first]], later["start"][order][first],
+                         np.diff(np.append(first, len(at))))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(_d, _t, start, n): runs of byte windows that occur earlier."""
     found = stored(scanned(R.run_batches(docs, SHAPE)), "found")
-    windows = R.window_batches(flagged_documents(found, docs, ["F", "H"]), SHAPE)
-    return found.where("kind = 'D'").union(scanned(windows, False)).select("_d", "_t", "start", "n")
+    near = group_arrow(R.reference_rows(flagged_documents(found, docs, ["F"]), SHAPE), "bucket",
+                       window_array, R.SPANS)
+    hot = scanned(R.window_batches(flagged_documents(found, docs, ["H"]), SHAPE), False)
+    return (found.where("kind = 'D'").select("_d", "_t", "start", "n").union(near)
+            .union(hot.select("_d", "_t", "start", "n")))
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, spans, kept), kept being the bytes that stay."""
-    marks = repeated_windows(docs).groupBy("_d", "_t").agg(
-        F.collect_list(F.struct("start", "n")).alias("marks"))
-    rows = R.deflated(docs).join(marks, ["_d", "_t"], "left").select("_d", "_t", "packed", "marks")
-
-    def cut(batches):
-        for batch in batches:
-            out = [cut_bytes(R.inflate(p), m) for p, m in zip(
-                batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([o["n_bytes"] for o in out], pa.int64()),
-                 pa.array([o["n_removed"] for o in out], pa.int64()),
-                 pa.array([o["spans"] for o in out], pa.list_(pa.list_(pa.int64()))),
-                 pa.array([o["kept"] for o in out], pa.binary())],
-                names=["_d", "n_bytes", "n_removed", "spans", "kept"])
-
-    return map_arrow(rows, cut, "_d long, n_bytes long, n_removed long, spans array<array<long>>, "
-                                "kept binary").select(
-        F.when(F.col("_d") != NULL_ID, F.col("_d")).alias("doc_id"), "n_bytes", "n_removed",
-        F.size("spans").cast("long").alias("n_spans"), "spans", "kept")
-
-
-def cut_bytes(body: bytes, marks: list | None) -> dict:
-    if not marks:
-        return {"n_bytes": len(body), "n_removed": 0, "spans": [], "kept": body}
-    first = np.array([m["start"] for m in marks], np.int64)
-    last = first + np.array([m["n"] for m in marks], np.int64) - 1 + LENGTH
-    gone = R.covered(first, last, len(body))
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    return {"n_bytes": len(body), "n_removed": int(gone.sum()), "spans": edges.reshape(-1, 2).tolist(),
-            "kept": np.frombuffer(body, np.uint8)[~gone].tobytes()}
+    """(doc_id, n_bytes, n_removed, spans, kept), kept being the bytes that stay."""
+    def cut(body, marks):
+        gone = R.gone_tokens(marks, LENGTH, len(body))
+        return len(body), gone, np.frombuffer(body, np.uint8)[~gone].tobytes() if marks else body
+
+    return R.cut_documents(docs, repeated_windows(docs), cut, "n_bytes")
