@@ -270,7 +270,7 @@ def with_bodies(docs: DataFrame) -> DataFrame:
     return keyed(docs).select("_d", "_t", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
 
 
-def run_batches(docs: DataFrame, shape: Shape) -> DataFrame:
+def run_batches(docs: DataFrame, shape: Shape, hot_runs: int = HOT_RUNS) -> DataFrame:
     """The runs of all documents, batched per map task and bucketed by anchor."""
     bits = bucket_bits(docs.sparkSession)
 
@@ -282,10 +282,10 @@ def run_batches(docs: DataFrame, shape: Shape) -> DataFrame:
                 parts.append(entries(block, shape, doc, tag))
                 n += len(parts[-1]["kgram"])
                 if n >= FLUSH_ROWS:
-                    yield batch_rows(parts, bits)
+                    yield batch_rows(parts, bits, hot_runs)
                     parts, n = [], 0
         if n:
-            yield batch_rows(parts, bits)
+            yield batch_rows(parts, bits, hot_runs)
 
     return map_arrow(with_bodies(docs), values, WIRE)
 

@@ -54,8 +54,11 @@ def rebalance(previous: dict[int, int], sizes: dict[int, int], shards: int) -> d
 
     ``previous`` may lack new slots or use fewer shards (when the cluster grows).
     Each move takes the slot that comes nearest to half the gap, so the spread
-    shrinks until no slot fits. Works on slot totals only, never on records.
+    shrinks until no slot fits. Where shards are new, only those take slots.
+    Works on slot totals only, never on records.
     """
+    known = set(previous.values())
+    takers = [k for k in range(shards) if known and k not in known] or range(shards)
     load, members = [0] * shards, [set() for _ in range(shards)]
     for slot in sorted(sizes, key=lambda s: (not 0 <= previous.get(s, -1) < shards, -sizes[s], s)):
         shard = previous.get(slot, -1)
@@ -65,7 +68,7 @@ def rebalance(previous: dict[int, int], sizes: dict[int, int], shards: int) -> d
         members[shard].add(slot)
     while True:
         high = max(range(shards), key=lambda k: (load[k], -k))
-        low = min(range(shards), key=lambda k: (load[k], k))
+        low = min(takers, key=lambda k: (load[k], k))
         gap = load[high] - load[low]
         slot = min((s for s in members[high] if 0 < sizes[s] < gap),
                    key=lambda s: (abs(2 * sizes[s] - gap), s), default=None)

@@ -178,9 +178,9 @@ def window_array(table: pa.Table) -> pa.Table:
                          np.diff(np.append(first, len(at))))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, hot_runs: int = R.HOT_RUNS) -> DataFrame:
     """(_d, _t, start, n): runs of byte windows that occur earlier."""
-    found = stored(scanned(R.run_batches(docs, SHAPE)), "found")
+    found = stored(scanned(R.run_batches(docs, SHAPE, hot_runs)), "found")
     near = group_arrow(R.reference_rows(flagged_documents(found, docs, ["F"]), SHAPE), "bucket",
                        window_array, R.SPANS)
     hot = scanned(R.window_batches(flagged_documents(found, docs, ["H"]), SHAPE), False)
@@ -188,10 +188,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             .union(hot.select("_d", "_t", "start", "n")))
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, hot_runs: int = R.HOT_RUNS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept), kept being the bytes that stay."""
     def cut(body, marks):
         gone = R.gone_tokens(marks, LENGTH, len(body))
         return len(body), gone, np.frombuffer(body, np.uint8)[~gone].tobytes() if marks else body
 
-    return R.cut_documents(docs, repeated_windows(docs), cut, "n_bytes")
+    return R.cut_documents(docs, repeated_windows(docs, hot_runs), cut, "n_bytes")

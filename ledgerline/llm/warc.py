@@ -27,6 +27,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ledgerline.llm.common import shipped, stored
 
@@ -41,14 +42,14 @@ class Archive(NamedTuple):
     payloads: DataFrame  # digest, packed
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def pack(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     z = zstandard.ZstdCompressor(level=3)
     for s in payloads:
         yield s.map(z.compress)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def unpack(packed: Iterator[pd.Series]) -> Iterator[pd.Series]:
     z = zstandard.ZstdDecompressor()
     for s in packed:
