@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(15,2)"
+#: Amounts converted to another currency, which may have many more units.
+CONVERTED = "decimal(24,2)"
 
 
 def col_(c) -> Column:
@@ -114,14 +116,14 @@ def format_rate(rate) -> Column:
 
 
 def _format_number_dyn(r: Column, digits: Column) -> Column:
-    # format_number takes a literal digit count in the Python API; the digit
-    # count here is bounded (a double has at most ~330 leading zeros), so a
-    # CASE over the realistic range keeps it a native expression.
-    out = None
-    for d in range(3, 24):
-        branch = F.format_number(r, d)
-        out = F.when(digits == d, branch) if out is None else out.when(digits == d, branch)
-    return out.otherwise(F.format_number(r, 23))
+    """``r`` (0 < r < 1) with a digit count of its own: whole units of the last digit, zero-padded.
+
+    The three significant digits come from the decimal text of the scaled
+    value, so the count isn't limited.
+    """
+    scaled = F.replace(F.format_number(r * F.pow(F.lit(10.0), digits), 0), F.lit(","), F.lit(""))
+    return F.when(F.length(scaled) > digits, F.concat(F.lit("1."), F.repeat(F.lit("0"), digits))) \
+        .otherwise(F.concat(F.lit("0."), F.lpad(scaled, digits, F.lit("0"))))
 
 
 def size_mb(size_bytes) -> Column:

@@ -131,10 +131,9 @@ def _prefix(prefix: str) -> str:
     return prefix if not prefix or prefix.endswith("/") else prefix + "/"
 
 
-def list_files(listing: DataFrame, prefix: str = "", max_keys: int | None = 1000) -> DataFrame:
-    """Files under ``prefix``: the first ``max_keys`` keys in key order (the page
-    a listing call returns; ``None`` = all), then folder markers and ``.keep``
-    files dropped."""
+def list_files(listing: DataFrame, prefix: str = "", max_keys: int | None = None) -> DataFrame:
+    """Files under ``prefix``, without folder markers and ``.keep`` files.
+    ``max_keys`` takes only the first keys in key order, as one listing page does."""
     p = _prefix(prefix)
     page = listing.where(F.col("key").startswith(p))
     if max_keys is not None:
@@ -154,10 +153,12 @@ def list_folders(listing: DataFrame, prefix: str = "") -> DataFrame:
 
 def folder_sizes(listing: DataFrame, depth: int = 1) -> DataFrame:
     """Bytes, MB, GB and object count per folder (the first ``depth`` path
-    segments); ``.keep`` files are skipped, folder markers are not."""
+    segments; objects higher up belong to the folders above them, '' being the
+    root); ``.keep`` files are skipped, folder markers are not."""
     parts = F.split(F.col("key"), "/")
-    folder = F.concat(F.array_join(F.slice(parts, 1, depth), "/"), F.lit("/"))
-    f = listing.where(~F.col("key").endswith(".keep") & (F.size(parts) > depth))
+    above = F.slice(parts, 1, F.least(F.lit(depth), F.size(parts) - 1))
+    folder = F.when(F.size(above) > 0, F.concat(F.array_join(above, "/"), F.lit("/"))).otherwise("")
+    f = listing.where(~F.col("key").endswith(".keep"))
     return (f.groupBy(folder.alias("prefix"))
             .agg(F.sum("size").alias("total_bytes"), F.count(F.lit(1)).alias("file_count"))
             .select("prefix", "total_bytes",
@@ -180,9 +181,12 @@ def orphan_objects(t: Tables) -> DataFrame:
 
 
 def listing_from_folder(spark, root: str) -> DataFrame:
-    """Listing table of a real folder through the ``binaryFile`` source
-    (file content is not read: only path, length and modification time)."""
+    """Listing table of a real folder through the ``binaryFile`` source, keys
+    relative to ``root`` (content is not read: only path, length and time)."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return df.select(F.col("path").alias("key"), F.col("length").alias("size"),
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(path).toString().rstrip("/") + "/"
+    return df.select(F.substring(F.col("path"), len(base) + 1, 1 << 30).alias("key"), F.col("length").alias("size"),
                      F.col("modificationTime").alias("last_modified"),
                      F.lit(None).cast("string").alias("etag"))

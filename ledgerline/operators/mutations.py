@@ -21,6 +21,7 @@ UPDATABLE_FIELDS = ["commercial_invoice_no", "invoiced_date", "due_date",
                     "email_to_accountant", "modified_date"]
 MSG_NO_FIELDS = "No valid fields to update"
 MSG_NOT_FOUND = "Invoice not found or already deleted"
+MSG_SUPERSEDED = "Superseded by a later request"  # ours: batches may hold several requests
 
 
 def _ts(as_of) -> F.Column:
@@ -34,18 +35,24 @@ def update_invoices(t: Tables, updates: DataFrame, as_of) -> tuple[DataFrame, Da
 
     ``updates``: invoice_id plus, per updatable field, ``has_<field>`` (the
     field was sent) and the new value (which may be NULL and then sets NULL).
-    ``modified_date`` is set to ``as_of`` unless it was sent. One request per
-    invoice id is expected. Returns (new snapshot, report).
+    ``modified_date`` is set to ``as_of`` unless it was sent. Of several requests
+    for one invoice the one with the largest ``request_no`` (a column; 0 when
+    there is none) counts, ties broken by the new values; the report has every
+    request, the others marked as superseded. Returns (new snapshot, report).
     """
     has = [F.coalesce(F.col(f"has_{f}"), F.lit(False)) for f in UPDATABLE_FIELDS]
     any_field = has[0]
     for h in has[1:]:
         any_field = any_field | h
-    u = updates.select("invoice_id", any_field.alias("_any"),
+    number = F.col("request_no") if "request_no" in updates.columns else F.lit(0)
+    u = updates.select("invoice_id", any_field.alias("_any"), number.cast("long").alias("_no"),
                        *[F.col(f"has_{f}").alias(f"_has_{f}") for f in UPDATABLE_FIELDS],
                        *[F.col(f).alias(f"_new_{f}") for f in UPDATABLE_FIELDS])
     pi = t.purchase_invoices
-    j = pi.join(u.where("_any"), pi.id == u.invoice_id, "left")
+    whole = F.struct("_no", *[c for c in u.columns if c.startswith(("_has_", "_new_"))])
+    last = u.where("_any").groupBy("invoice_id").agg(
+        F.max(whole).alias("_r"), F.max("_no").alias("_last")).select("invoice_id", "_last", "_r.*").drop("_no")
+    j = pi.join(last, pi.id == last.invoice_id, "left")
     hit = F.col("invoice_id").isNotNull() & (F.col("delete_flag") == 0)
     new_cols = []
     for c in pi.columns:
@@ -58,11 +65,14 @@ def update_invoices(t: Tables, updates: DataFrame, as_of) -> tuple[DataFrame, Da
             new_cols.append(F.col(c))
     snapshot = j.select(*new_cols)
     found = active(pi).select(F.col("id").alias("invoice_id"), F.lit(True).alias("_found"))
-    report = u.join(found, "invoice_id", "left").select(
+    report = u.join(found, "invoice_id", "left").join(last.select("invoice_id", "_last"), "invoice_id", "left")
+    older = F.coalesce(F.col("_no") < F.col("_last"), F.lit(False))
+    report = report.select(
         "invoice_id",
-        (F.col("_any") & F.col("_found").isNotNull()).alias("updated"),
+        (F.col("_any") & F.col("_found").isNotNull() & ~older).alias("updated"),
         F.when(~F.col("_any"), F.lit(MSG_NO_FIELDS))
         .when(F.col("_found").isNull(), F.lit(MSG_NOT_FOUND))
+        .when(older, F.lit(MSG_SUPERSEDED))
         .otherwise(F.lit("Invoice updated successfully")).alias("message"))
     return snapshot, report
 

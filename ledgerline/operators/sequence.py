@@ -46,6 +46,8 @@ def row_numbers(df: DataFrame, group_cols: list[str], order_cols: list[str],
         .rowsBetween(Window.unboundedPreceding, -1)
     per_task = per_task.withColumn("_seq_offset",
                                    F.coalesce(F.sum("_seq_n").over(earlier), F.lit(0)))
+    if keys == [_G]:  # one row per task: bounded by the number of tasks
+        per_task = F.broadcast(per_task)
     numbered = (ordered.join(per_task.select(*keys, "_seq_task", "_seq_offset", "_seq_first"),
                              [*keys, "_seq_task"])
                 .withColumn(out, (F.col("_seq_offset") + F.col("_seq_mono")

@@ -30,6 +30,16 @@ def payment_terms_list(t: Tables) -> DataFrame:
     return terms.select("id", "name", "description", "days").orderBy("days", "name")
 
 
+def invoice_terms(t: Tables) -> DataFrame:
+    """Per active invoice, its payment term's name, days and description (30 days and
+    no name where the id is unknown), by a join on the term id."""
+    terms = payment_terms_list(t).select(F.col("id").alias("payment_term_id"), F.col("name").alias("term_name"),
+                                         "days", F.col("description").alias("term_description"))
+    pi = active(t.purchase_invoices).select(F.col("id").alias("invoice_id"), "payment_term_id")
+    return pi.join(terms, "payment_term_id", "left").select(
+        "invoice_id", "payment_term_id", "term_name", F.coalesce("days", F.lit(30)).alias("days"), "term_description")
+
+
 def term_rules(df: DataFrame, name_col: str = "name") -> DataFrame:
     """Adds category and both day counts for a term-name column."""
     n = F.col(name_col)

@@ -17,7 +17,7 @@ _tables: dict[tuple, Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _tables:
         _tables[key] = Tables.from_testdata(spark, sf_dir)
     return _tables[key]
@@ -324,8 +324,8 @@ def q_invoice_attachments(t: Tables) -> DataFrame:
 
 @query("object_listing")
 def q_object_listing(t: Tables) -> DataFrame:
-    """SRC2/SCA24: first 1000 keys under the invoice prefix, markers skipped."""
-    return attachments.list_files(t.object_listing, INVOICE_FILE_PREFIX, 1000)
+    """SRC2/SCA24: all keys under the invoice prefix, markers skipped."""
+    return attachments.list_files(t.object_listing, INVOICE_FILE_PREFIX)
 
 
 @query("folder_listing")
@@ -362,10 +362,10 @@ from ledgerline.operators import invoicing  # noqa: E402
 AS_OF = _dt.date(2001, 7, 31)
 
 
-def _build(t: Tables):
-    """Invoice requests: every purchase-order selection that passes the basic
-    check; invoice currency = PO currency, or USD for every fourth order."""
-    sel = sample_selections(t).where(F.col("selection_id") < 10 ** 12)
+def _build(t: Tables, lines_too: bool = True):
+    """Invoice requests: every selection that passes the basic check; invoice
+    currency = PO currency, or USD for every fourth selection."""
+    sel = sample_selections(t)
     ok = selections.selection_check(sel).where("is_valid").select("selection_id")
     first_cur = sel.groupBy("selection_id").agg(
         F.min_by(F.substring_index("buying_unit_cost", " ", -1), "line_no").alias("po_cur"))
@@ -376,13 +376,13 @@ def _build(t: Tables):
         (F.col("selection_id") % 6 == 0).alias("advance_payment"))
     lines = sel.join(ok, "selection_id", "left_semi") \
         .select("selection_id", F.col("line_no").alias("can_line_id"))
-    return invoicing.build_invoices(t, lines, requests, AS_OF, "k0")
+    return invoicing.build_invoices(t, lines, requests, AS_OF, "k0", lines_too)
 
 
 @query("new_invoice_headers")
 def q_new_headers(t: Tables) -> DataFrame:
     """DOM6/AGG13/SCA7/SCA14/WIN4/DOM4: invoice headers built from valid selections."""
-    return _build(t)[0]
+    return _build(t, lines_too=False)[0]
 
 
 @query("new_invoice_lines")
@@ -443,8 +443,8 @@ def q_purge(t: Tables) -> DataFrame:
 
 @query("edit_check")
 def q_edit_check(t: Tables) -> DataFrame:
-    """DOM10: edit validation for every 2001 invoice (shifted dates)."""
-    pi = t.purchase_invoices.where(F.year("invoiced_date") == 2001)
+    """DOM10: edit validation for every invoice (shifted dates)."""
+    pi = t.purchase_invoices
     edits = pi.select(F.col("id").alias("invoice_id"),
                       F.date_add("invoiced_date", (F.col("id") % 3).cast("int")).alias("invoiced_date"),
                       F.date_add("invoiced_date", (F.col("id") % 40 - 10).cast("int")).alias("due_date"))
@@ -456,3 +456,90 @@ def q_removed_links(t: Tables) -> DataFrame:
     """DOM11: attachment-link snapshot after removing links to every fifth media."""
     ids = t.purchase_invoice_medias.where(F.col("media_id") % 5 == 0).select("id")
     return mutations.remove_attachment_links(t, ids, AS_OF)[0]
+
+
+@query("void_report")
+def q_void_report(t: Tables) -> DataFrame:
+    """DOM8: outcome per requested id, with ids that don't exist."""
+    ids = _old_invoice_ids(t)
+    return mutations.void_invoices(t, ids.union(ids.select(-F.col("id") - 1)).union(ids), AS_OF)[1]
+
+
+@query("purged_invoices")
+def q_purged(t: Tables) -> DataFrame:
+    """DOM9: invoice table snapshot after the hard delete."""
+    return mutations.purge_invoices(t, _old_invoice_ids(t))[0]
+
+
+@query("link_removal_report")
+def q_link_removal_report(t: Tables) -> DataFrame:
+    """DOM11: outcome per requested link id, with repeated and unknown ids."""
+    ids = t.purchase_invoice_medias.where(F.col("media_id") % 5 == 0).select("id")
+    return mutations.remove_attachment_links(t, ids.union(ids).union(ids.select(-F.col("id") - 1)), AS_OF)[1]
+
+
+@query("superseded_updates")
+def q_superseded(t: Tables) -> DataFrame:
+    """DOM7: the invoice snapshot when every update request comes twice, the later one changed."""
+    first = _update_requests(t).withColumn("request_no", F.lit(1))
+    later = first.withColumns({"request_no": F.lit(2), "due_date": F.date_add("due_date", 1)})
+    return mutations.update_invoices(t, later.union(first), AS_OF)[0]
+
+
+@query("new_media_links")
+def q_new_media_links(t: Tables) -> DataFrame:
+    """SNK3/WIN4: link rows that attach every active media of an invoice to the next invoice too."""
+    links = active(t.purchase_invoice_medias)
+    requests = links.groupBy((F.col("purchase_invoice_id") + 1).alias("purchase_invoice_id")).agg(
+        F.collect_list("media_id").alias("media_ids"))
+    return invoicing.new_media_links(t, requests, "k0", "2001-07-31 12:00:00")
+
+
+@query("invoice_term_days")
+def q_invoice_term_days(t: Tables) -> DataFrame:
+    """DOM14: term name, days and description of each invoice through the id map."""
+    return terms.invoice_terms(t)
+
+
+@query("rate_texts")
+def q_rate_texts(t: Tables) -> DataFrame:
+    """SCA16: display text of the latest rates, direct and inverted."""
+    from ledgerline.functions.money import format_rate
+    r = rates.latest_rates(t)
+    inverse = F.when(F.col("rate_value") > 0, F.lit(1.0) / F.col("rate_value").cast("double"))
+    return r.select("from_currency_code", "to_currency_code", format_rate("rate_value").alias("rate_text"),
+                    format_rate(inverse).alias("inverse_text"))
+
+
+@query("monthly_amount_texts")
+def q_amount_texts(t: Tables) -> DataFrame:
+    """SCA15: short text of each month's invoiced amount per currency id."""
+    from ledgerline.functions.money import large_number
+    m = active(t.purchase_invoices).groupBy(
+        F.date_format("invoiced_date", "yyyy-MM").alias("month"), "currency_id").agg(
+        F.sum("total_invoiced_amount").alias("amount"))
+    return m.select("month", "currency_id", large_number("amount", F.lit("USD")).alias("amount_text"))
+
+
+@query("attachment_icons")
+def q_attachment_icons(t: Tables) -> DataFrame:
+    """SCA23: the icon of each media file."""
+    from ledgerline.functions.files import file_icon
+    return t.medias.select("id", "name", file_icon(F.col("name")).alias("icon"))
+
+
+def _raw_query(name: str):
+    def register(fn):
+        QUERIES[name] = fn
+        return fn
+    return register
+
+
+@_raw_query("event_documents")
+def q_event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5/SNK4: JSON documents of the events, parsed, with the key each would be stored under."""
+    from ledgerline.sources import documents as D
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    doc = D.parse_json("props")
+    return ev.select("event_id", F.variant_get(doc, "$.k", "long").alias("k"), D.template_key(
+        F.col("event_type"), F.concat(F.lit("Event "), F.col("event_id").cast("string")), "app").alias("key"))

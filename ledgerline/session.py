@@ -51,6 +51,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = os.path.join(tempfile.gettempdir(), "ledgerline-checkpoints")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not sc.getCheckpointDir():

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Default application prefix and template folder.
-APP_PREFIX = "streamlit-app"
+# Fixed value: template folder.
 TEMPLATE_FOLDER = "label-management/templates"
 
 
@@ -20,7 +19,7 @@ def safe_name(c: Column) -> Column:
     return F.lower(F.replace(c, F.lit(" "), F.lit("_")))
 
 
-def template_key(customer_code, template_name, app_prefix: str = APP_PREFIX) -> Column:
+def template_key(customer_code, template_name, app_prefix: str) -> Column:
     """``{prefix}/label-management/templates/{customer}/{name}.json``."""
     col = (lambda c: F.col(c) if isinstance(c, str) else c)
     return F.concat(F.lit(f"{app_prefix}/{TEMPLATE_FOLDER}/"), safe_name(col(customer_code)),

@@ -45,6 +45,7 @@ class Tables:
         self.spark = spark
         self._frames = dict(frames)
         self._store = store
+        self._derived: set[str] = set()
 
     def derived(self, name: str, build) -> DataFrame:
         """An input table built from other tables by ``build(self)``, written once.
@@ -65,6 +66,7 @@ class Tables:
             checkpoint_root(self.spark)
             df = df.checkpoint(eager=True)
         self._frames[name] = df
+        self._derived.add(name)
         return df
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -80,9 +82,9 @@ class Tables:
 
     def with_table(self, name: str, df: DataFrame) -> "Tables":
         """A copy with one table replaced (e.g. a new snapshot after an update)."""
-        frames = dict(self._frames)
+        frames = {k: v for k, v in self._frames.items() if k not in self._derived}
         frames[name] = df
-        return Tables(self.spark, frames, self._store)
+        return Tables(self.spark, frames)  # no store: what was derived came from the old tables
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Tables":
@@ -100,8 +102,9 @@ class Tables:
         """
         if materialize is None:
             materialize = os.environ.get("LEDGERLINE_MATERIALIZE", "1") != "0"
-        sf_dir = os.path.abspath(sf_dir)
-        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:8]
+        if "://" not in sf_dir:
+            sf_dir = os.path.abspath(sf_dir)
+        tag = hashlib.sha1("\n".join([sf_dir, *_input_files(spark, sf_dir)]).encode()).hexdigest()[:8]
         store = None
         if materialize:
             store = os.path.join(checkpoint_root(spark), "ledgerline-standin", _VERSION, tag)
@@ -129,6 +132,18 @@ class Tables:
         return cls(spark, frames, store)
 
 
+def _input_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Names, sizes and times of the raw tables' files: changed inputs get a store of their own."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for raw in standin.RAW_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{raw}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            out += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(path)]
+    return sorted(out)
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     """True when a previous write of ``path`` finished (Hadoop ``_SUCCESS`` marker)."""
     jvm = spark.sparkContext._jvm

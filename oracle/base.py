@@ -34,13 +34,10 @@ VIEW_CTES = [
     """inv_by_po_line AS (
   SELECT product_purchase_order_id, sum(purchased_invoice_quantity) AS q
   FROM det GROUP BY product_purchase_order_id)""",
-    """legacy_invoices AS (
-  SELECT product_purchase_order_id, sum(purchased_invoice_quantity) AS legacy_invoice_qty,
-         count(DISTINCT purchase_invoice_id) AS legacy_invoice_count
+    """legacy_by_po_line AS (
+  SELECT product_purchase_order_id, sum(purchased_invoice_quantity) AS legacy_qty,
+         count(DISTINCT purchase_invoice_id) AS legacy_count
   FROM det WHERE arrival_detail_id IS NULL GROUP BY product_purchase_order_id)""",
-    """new_invoices AS (
-  SELECT product_purchase_order_id, sum(purchased_invoice_quantity) AS new_invoice_qty
-  FROM det WHERE arrival_detail_id IS NOT NULL GROUP BY product_purchase_order_id)""",
     """arr_by_po_line AS (
   SELECT product_purchase_order_id, sum(arrival_quantity) AS q
   FROM arr_lines GROUP BY product_purchase_order_id)""",
@@ -182,4 +179,6 @@ VIEW_CTES = [
 def with_ctes(body: str, extra: list[str] | None = None) -> str:
     """``WITH <stand-ins>, <views>, <extra> <body>``."""
     ctes = _standin_ctes() + VIEW_CTES + list(extra or [])
+    if body.lstrip().startswith("WITH "):  # a body with CTEs of its own
+        body = f"SELECT * FROM ({body})"
     return "WITH " + ",\n".join(ctes) + "\n" + body

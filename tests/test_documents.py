@@ -20,8 +20,8 @@ def test_parse_json_on_event_props(spark):
 
 def test_template_key_and_sink(spark):
     df = spark.createDataFrame([("ACME Corp", "Box Label", '{"w": 10}')], "c string, n string, t string")
-    assert df.select(D.template_key("c", "n")).first()[0] == \
-        "streamlit-app/label-management/templates/acme_corp/box_label.json"
+    assert df.select(D.template_key("c", "n", "app")).first()[0] == \
+        "app/label-management/templates/acme_corp/box_label.json"
     out = os.path.join(tempfile.mkdtemp(prefix="ledgerline-tpl-"), "templates")
     D.write_templates(df.select(F.col("c").alias("customer_code"),
                                 F.from_json("t", "w int").alias("template")), out)
