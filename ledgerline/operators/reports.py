@@ -72,13 +72,14 @@ def _rename(df: DataFrame, pairs) -> DataFrame:
 
 
 def recent_invoices(t: Tables, limit: int = 100, as_of=None) -> DataFrame:
-    """The ``limit`` newest invoices (invoice date, then number, descending).
+    """The ``limit`` newest invoices (invoice date, number, then id, descending).
 
     Reads header rows (one per invoice), so the top-k runs as a per-task
     top-k plus one merge (TakeOrderedAndProject), not a sort of line rows.
     """
     h = _rename(invoice_header_view(t, as_of), RECENT_COLUMNS)
-    return h.orderBy(F.col("invoiced_date").desc(), F.col("invoice_number").desc()).limit(limit)
+    return h.orderBy(F.col("invoiced_date").desc(), F.col("invoice_number").desc(),
+                     F.col("id").desc()).limit(limit)
 
 
 def invoices_by_id(t: Tables, ids: DataFrame, as_of=None) -> DataFrame:

@@ -14,59 +14,9 @@ placeholders stand for a raw test table or an earlier stand-in table.
 
 from __future__ import annotations
 
-# Currency codes and names of the currency master table. The
-# first four codes are the ones the currency list puts first (USD, VND, EUR,
-# SGD); the rest exercise the "others by code", NULL-code and deleted paths.
-CURRENCY_ROWS = [
-    (1, "USD", "US Dollar", 0),
-    (2, "VND", "Vietnamese Dong", 0),
-    (3, "EUR", "Euro", 0),
-    (4, "SGD", "Singapore Dollar", 0),
-    (5, "JPY", "Japanese Yen", 0),
-    (6, None, "Unassigned", 0),
-    (7, "GBP", "Pound Sterling", 0),
-    (8, "AUD", "Australian Dollar", 1),
-]
-
-# Payment-term names. Names 1-10 and 11-12 are the reference's
-# own printed examples; 13-16 are edge cases (no "DAYS", a name containing
-# "CIA", MOA, colon split). 17 is a deleted term. Descriptions are optional.
-PAYMENT_TERM_ROWS = [
-    (1, "NET 60 DAYS BY TT", None, 0),
-    (2, "NET 30 DAYS", "Net 30 days from invoice date", 0),
-    (3, "Net 5 days by TT", None, 0),
-    (4, "AMS 60 DAYS BY TT", "60 days after month start", 0),
-    (5, "AMS 90 DAYS", None, 0),
-    (6, "TT IN ADVANCE", "Telegraphic transfer before shipment", 0),
-    (7, "COD", None, 0),
-    (8, "50% IN ADVANCE, 50% NET 30 DAYS", None, 0),
-    (9, "50% DP, 50% Net 10", "Balance NET 45 DAYS after delivery", 0),
-    (10, "TT on the 25th of every month", None, 0),
-    (11, "EOM 90", None, 0),
-    (12, "TT AFTER DELIVERY", None, 0),
-    (13, "NET 60", None, 0),
-    (14, "SPECIAL TERMS", None, 0),
-    (15, "MOA 45", None, 0),
-    (16, "30:40:30 Net 30", None, 0),
-    (17, "NET 45 DAYS", None, 1),
-]
-
-
-def _lit(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    return str(v)
-
-
-def _values(rows) -> str:
-    return ",\n  ".join("(" + ", ".join(_lit(v) for v in r) + ")" for r in rows)
-
-
 # Raw test tables each stand-in reads (for the Spark side's views).
 RAW_TABLES = ("lineitem", "orders", "customer", "supplier", "part", "region",
-              "events", "pages")
+              "nation", "events", "pages")
 
 # Ordered: a table may only reference raw tables and earlier entries.
 STANDIN_SQL: dict[str, str] = {}
@@ -79,19 +29,29 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_tax,
          ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS line_id
 FROM {lineitem}"""
 
-STANDIN_SQL["currencies"] = f"""
-SELECT cast(id AS bigint) AS id, cast(code AS string) AS code, name,
-       cast(delete_flag AS int) AS delete_flag
-FROM (VALUES
-  {_values(CURRENCY_ROWS)}
-) AS t(id, code, name, delete_flag)"""
-
-STANDIN_SQL["payment_terms"] = f"""
-SELECT cast(id AS bigint) AS id, name, cast(description AS string) AS description,
-       cast(delete_flag AS int) AS delete_flag
-FROM (VALUES
-  {_values(PAYMENT_TERM_ROWS)}
-) AS t(id, name, description, delete_flag)"""
+# One currency per nation; the first five codes are those that the exchange rates use. One nation
+# has no code and one is deleted.
+STANDIN_SQL["currencies"] = """
+SELECT cast(1 + n_nationkey AS bigint) AS id,
+       CASE n_nationkey WHEN 0 THEN 'USD' WHEN 1 THEN 'VND' WHEN 2 THEN 'EUR' WHEN 3 THEN 'SGD' WHEN 4 THEN 'JPY'
+            WHEN 5 THEN NULL ELSE upper(substr(n_name, 1, 2)) || cast(n_nationkey AS string) END AS code,
+       'Currency of ' || n_name AS name, CASE WHEN n_nationkey = 7 THEN 1 ELSE 0 END AS delete_flag
+FROM {nation}"""
+
+# One payment term per supplier, of every wording the rules know, with the supplier's own numbers.
+STANDIN_SQL["payment_terms"] = """
+SELECT cast(1 + s_suppkey AS bigint) AS id,
+       CASE s_suppkey % 16
+         WHEN 0 THEN 'NET ' || n || ' DAYS' WHEN 1 THEN 'AMS ' || n || ' DAYS BY TT' WHEN 2 THEN 'COD'
+         WHEN 3 THEN '40% DP, 60% Net ' || n WHEN 4 THEN 'TT on the ' || d || 'th of every month'
+         WHEN 5 THEN 'EOM ' || n WHEN 6 THEN 'TT AFTER SHIPMENT' WHEN 7 THEN 'Net ' || n || ' days by LC'
+         WHEN 8 THEN 'NET ' || n WHEN 9 THEN 'FINANCIAL TERMS' WHEN 10 THEN 'MOA ' || n
+         WHEN 11 THEN '20:50:30 Net ' || n WHEN 12 THEN 'AMS ' || n || ' DAYS' WHEN 13 THEN 'CASH IN ADVANCE'
+         WHEN 14 THEN '30% IN ADVANCE, 70% NET ' || n || ' DAYS' ELSE 'NET DAYS' END AS name,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'Balance NET ' || n || ' DAYS, ' || s_name END AS description,
+       CASE WHEN s_suppkey % 19 = 7 THEN 1 ELSE 0 END AS delete_flag
+FROM (SELECT s_suppkey, s_name, cast(5 + 5 * (s_suppkey % 18) AS string) AS n,
+             cast(4 + s_suppkey % 17 AS string) AS d FROM {supplier}) s"""
 
 STANDIN_SQL["companies"] = """
 SELECT cast(s_suppkey AS bigint) AS id, s_name AS english_name,
@@ -120,9 +80,9 @@ STANDIN_SQL["purchase_orders"] = """
 SELECT o.o_orderkey AS id,
        'PO' || lpad(cast(o.o_orderkey AS string), 8, '0') AS po_number,
        cast(1 + o.o_orderkey % 5 AS bigint) AS currency_id,
-       s.seller AS seller_company_id,
+       CASE WHEN o.o_orderkey % 3 = 0 THEN cast(0 AS bigint) ELSE s.seller END AS seller_company_id,
        cast(1000000 + o.o_custkey % 5 AS bigint) AS buyer_company_id,
-       cast(1 + o.o_orderkey % 17 AS bigint) AS payment_term_id,
+       cast(1 + o.o_orderkey % 23 AS bigint) AS payment_term_id,
        'user' || cast(o.o_custkey % 7 AS string) AS creator,
        o.o_orderpriority AS po_type,
        'EXT-' || cast(o.o_custkey AS string) AS external_ref_number,
@@ -143,14 +103,16 @@ SELECT l.line_id AS id, l.l_orderkey AS purchase_order_id, l.l_partkey AS produc
        CASE WHEN l.line_id % 89 = 0 THEN 1 ELSE 0 END AS delete_flag
 FROM {ln} l JOIN {part} p ON p.p_partkey = l.l_partkey"""
 
+# Every fourth PO line arrives in a second part too; lines of one order in fifty all arrive for its
+# first PO line (a hot PO line).
 STANDIN_SQL["arrival_details"] = """
-SELECT line_id AS id,
+SELECT line_id + part * 5000000000 AS id,
        l_orderkey * 3 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS arrival_id,
-       line_id AS product_purchase_order_id,
-       cast(l_quantity * CASE WHEN line_id % 10 = 0 THEN 1.5 WHEN line_id % 10 < 4 THEN 0.5
-                              ELSE 1.0 END AS decimal(15,2)) AS arrival_quantity,
+       CASE WHEN l_orderkey % 50 = 0 THEN l_orderkey * 100 + 1 ELSE line_id END AS product_purchase_order_id,
+       cast(l_quantity * CASE WHEN part = 1 THEN 0.25 WHEN line_id % 10 = 0 THEN 1.5
+                              WHEN line_id % 10 < 4 THEN 0.5 ELSE 1.0 END AS decimal(15,2)) AS arrival_quantity,
        CASE WHEN line_id % 103 = 0 THEN 1 ELSE 0 END AS delete_flag
-FROM {ln}"""
+FROM (SELECT *, 0 AS part FROM {ln} UNION ALL SELECT *, 1 AS part FROM {ln} WHERE line_id % 4 = 1) x"""
 
 STANDIN_SQL["arrivals"] = """
 SELECT arrival_id AS id,
@@ -163,6 +125,8 @@ FROM (SELECT l_orderkey * 3 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1
       FROM {ln}) x
 GROUP BY arrival_id"""
 
+# Besides its own invoice line, a PO line can have a legacy line (part 1, no arrival line) and a second
+# line for the same arrival (part 2), partly on the invoice of another order.
 STANDIN_SQL["purchase_invoice_details"] = """
 SELECT id, purchase_invoice_id, purchase_order_id, product_purchase_order_id, arrival_detail_id,
        qty AS purchased_invoice_quantity, qty AS invoiced_quantity,
@@ -170,23 +134,27 @@ SELECT id, purchase_invoice_id, purchase_order_id, product_purchase_order_id, ar
        cast(round(base, 2) AS decimal(15,2)) AS amount_exclude_vat,
        vat_gst, cast(1 AS decimal(18,6)) AS exchange_rate, delete_flag
 FROM (
-  SELECT l.line_id AS id, l.l_orderkey AS purchase_invoice_id, l.l_orderkey AS purchase_order_id,
-         l.line_id AS product_purchase_order_id,
-         CASE WHEN l.line_id % 13 = 0 THEN NULL ELSE l.line_id END AS arrival_detail_id,
-         cast(l.l_quantity * CASE WHEN l.line_id % 17 = 0 THEN 1.5 WHEN l.line_id % 3 = 0 THEN 0.5
-                                  ELSE 1.0 END AS decimal(15,2)) AS qty,
-         cast(l.l_quantity * CASE WHEN l.line_id % 17 = 0 THEN 1.5 WHEN l.line_id % 3 = 0 THEN 0.5
-                                  ELSE 1.0 END AS decimal(15,2))
-           * cast(p.p_retailprice AS decimal(15,2)) AS base,
+  SELECT l.line_id + l.part * 5000000000 AS id,
+         CASE WHEN l.part > 0 AND l.line_id % 2 = 0 THEN l.l_orderkey - l.l_orderkey % 4 ELSE l.l_orderkey END
+           AS purchase_invoice_id,
+         l.l_orderkey AS purchase_order_id, l.line_id AS product_purchase_order_id,
+         CASE WHEN l.line_id % 13 = 0 OR l.part = 1 THEN NULL ELSE l.line_id END AS arrival_detail_id,
+         cast(l.l_quantity * share AS decimal(15,2)) AS qty,
+         cast(l.l_quantity * share AS decimal(15,2)) * cast(p.p_retailprice AS decimal(15,2)) AS base,
          cast(round(l.l_tax * 100) AS int) AS vat_gst,
          CASE WHEN l.line_id % 107 = 0 THEN 1 ELSE 0 END AS delete_flag
-  FROM {ln} l JOIN {part} p ON p.p_partkey = l.l_partkey
+  FROM (SELECT *, 0 AS part, CASE WHEN line_id % 17 = 0 THEN 1.5 WHEN line_id % 3 = 0 THEN 0.5 ELSE 1.0 END AS share
+        FROM {ln}
+        UNION ALL SELECT *, 1 AS part, 0.125 AS share FROM {ln} WHERE line_id % 5 = 2
+        UNION ALL SELECT *, 2 AS part, 0.25 AS share FROM {ln} WHERE line_id % 6 = 1) l
+  JOIN {part} p ON p.p_partkey = l.l_partkey
   WHERE l.l_linestatus = 'F') x"""
 
 STANDIN_SQL["purchase_invoices"] = """
 SELECT o.o_orderkey AS id,
-       'V-INV' || replace(cast(cast(o.o_orderdate AS date) AS string), '-', '') || '-'
-         || cast(o.o_orderkey AS string)
+       CASE WHEN o.o_orderkey % 40 < 3 THEN 'V-INV-REISSUED-' || cast(o.o_orderkey - o.o_orderkey % 40 AS string)
+            ELSE 'V-INV' || replace(cast(cast(o.o_orderdate AS date) AS string), '-', '') || '-'
+                 || cast(o.o_orderkey AS string) END
          || CASE WHEN o.o_orderkey % 6 = 0 THEN '-A' ELSE '-P' END AS invoice_number,
        cast(o.o_orderdate AS date) AS invoiced_date,
        cast(o.o_orderdate AS date) + cast(30 + 15 * (o.o_orderkey % 4) AS int) AS due_date,
@@ -212,13 +180,17 @@ FROM {orders} o JOIN {purchase_orders} po ON po.id = o.o_orderkey
 WHERE o.o_orderkey IN (SELECT purchase_invoice_id FROM {purchase_invoice_details})"""
 
 STANDIN_SQL["purchase_invoice_payments"] = """
-SELECT pi.id AS id, pi.id AS purchase_invoice_id,
-       CASE WHEN o.o_orderstatus = 'F' THEN pi.total_invoiced_amount
+SELECT pi.id + x.part * 5000000000 AS id, pi.id AS purchase_invoice_id,
+       CASE WHEN x.o_orderstatus = 'F' AND x.parts = 1 THEN pi.total_invoiced_amount
             ELSE cast(round(pi.total_invoiced_amount * 0.5, 2) AS decimal(15,2)) END AS amount,
-       pi.invoiced_date + cast(10 + o.o_orderkey % 20 AS int) AS payment_date,
-       CASE WHEN o.o_orderkey % 71 = 0 THEN 1 ELSE 0 END AS delete_flag
-FROM {purchase_invoices} pi JOIN {orders} o ON o.o_orderkey = pi.id
-WHERE o.o_orderstatus IN ('F', 'P')"""
+       pi.invoiced_date + cast(10 + x.o_orderkey % 20 + x.part AS int) AS payment_date,
+       CASE WHEN x.o_orderkey % 71 = 0 THEN 1 ELSE 0 END AS delete_flag
+FROM {purchase_invoices} pi
+JOIN (SELECT o_orderkey, o_orderstatus, 0 AS part, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS parts
+      FROM {orders}
+      UNION ALL SELECT o_orderkey, o_orderstatus, 1 AS part, 2 AS parts FROM {orders}
+      WHERE o_orderkey % 3 = 0 AND o_orderstatus = 'F') x ON x.o_orderkey = pi.id
+WHERE x.o_orderstatus IN ('F', 'P')"""
 
 STANDIN_SQL["exchange_rates"] = """
 SELECT e.event_id AS id, cf.code AS from_currency_code, ct.code AS to_currency_code,
