@@ -5,29 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when it is proven to have at most this many
-# rows (after projecting the few columns a lookup needs, ~100 bytes/row).
-DIM_MAX_ROWS = 1_000_000
+# A dimension is broadcast only when the statistics of its plan (file sizes, for a
+# scan; products of them, for a join) prove that it has at most this many bytes.
+DIM_MAX_BYTES = 32 << 20
 
-_checked: dict[tuple, bool] = {}
 
+def is_bounded(df: DataFrame, max_bytes: int = DIM_MAX_BYTES) -> bool:
+    """True when the optimizer's size, from the bytes of the files behind ``df``, is small.
 
-def is_bounded(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Checked with a LIMIT count (reads at most ``max_rows + 1`` rows) and
-    remembered per logical plan, so a dimension is checked once per session.
+    Runs no job. Packed columns can be some times larger in memory, which the limit allows for.
     """
-    key = (df.semanticHash(), max_rows)
-    if key not in _checked:
-        _checked[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _checked[key]
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size) <= max_bytes
 
 
-def dim(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
+def dim(df: DataFrame, max_bytes: int = DIM_MAX_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its size is proven small, else unchanged
     (Spark then uses a shuffle join, and AQE may still broadcast at runtime)."""
-    return F.broadcast(df) if is_bounded(df, max_rows) else df
+    return F.broadcast(df) if is_bounded(df, max_bytes) else df
 
 
 def active(df: DataFrame) -> DataFrame:

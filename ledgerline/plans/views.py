@@ -279,5 +279,14 @@ def invoice_header_view(t: Tables, as_of=None) -> DataFrame:
     columns depend on the invoice id only), computed without expanding to
     line rows: headers semi-joined with the invoices that have a view line.
     """
-    with_lines = _line_columns(t).select("pi_id")
+    products = t.products.select(F.col("id").alias("product_id"))
+    ppo = t.product_purchase_orders.select(F.col("id").alias("product_purchase_order_id"), "product_id") \
+        .join(products, "product_id", "left_semi")
+    po = t.purchase_orders.select(F.col("id").alias("purchase_order_id"))
+    # keys only: whether a line is in the view depends on these joins, not on its amounts or arrivals
+    with_lines = (active_invoice_details(t)
+                  .select(F.col("purchase_invoice_id").alias("pi_id"), "purchase_order_id",
+                          "product_purchase_order_id")
+                  .join(ppo, "product_purchase_order_id", "left_semi")
+                  .join(po, "purchase_order_id", "left_semi").select("pi_id"))
     return _header_columns(t, as_of).join(with_lines, "pi_id", "left_semi")
