@@ -28,16 +28,19 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ascii_lower, keyed, stored, text_or_empty
+from ledgerline.llm.common import NULL_ID, ascii_lower, keyed, stored, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lower-casing.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A posting of its own after the last word of every document; its position is the number of words.
+END = " "
 WINDOW = 10
 BROADCAST_ROWS = 200_000
 
 
 class Index(NamedTuple):
-    documents: DataFrame  # doc_id, text, _d, _t
-    postings: DataFrame  # term, _d, _t, pos
+    postings: DataFrame  # term, _d, _t, pos; one END posting per document
     phrases: DataFrame  # phrase, n, off, term: a row per term of each phrase
     items: DataFrame  # phrase, item_id
 
@@ -64,11 +67,15 @@ def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         "phrase", F.size("ws").alias("n"), F.posexplode("ws").alias("off", "word"))
     phrase_terms = stored(distinct.select("phrase", "n", "off", "word",
                                           F.xxhash64("word").alias("term")), "phrases")
-    terms = phrase_terms.select("word", "term").distinct()
-    rows = keyed(docs)
-    tokens = rows.select("_d", "_t", F.posexplode(words()).alias("pos", "word"))
-    postings = tokens.join(small(terms, terms.count()), "word").select("term", "_d", "_t", "pos")
-    return Index(rows, stored(postings, "postings"), phrase_terms.drop("word"),
+    end = docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.xxhash64(F.lit(END)).alias("term"))
+    terms = phrase_terms.select("word", "term").distinct().union(end)
+    found = F.regexp_extract_all(text_or_empty(), F.lit(ANY_CASE), F.lit(0))
+    tokens = keyed(docs).select("_d", "_t", F.posexplode(F.concat(found, F.array(F.lit(END)))).alias("pos", "word"))
+    # the same as ascii_lower, which is slow, where a word has no other characters
+    lower = F.when(F.octet_length("word") == F.char_length("word"), F.lower("word")).otherwise(
+        ascii_lower(F.col("word")))
+    postings = tokens.withColumn("word", lower).join(small(terms, terms.count()), "word").select("term", "_d", "_t", "pos")
+    return Index(stored(postings, "postings"), phrase_terms.drop("word"),
                  windows.select("phrase", "item_id").distinct())
 
 
@@ -141,8 +148,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         .groupBy("_d", "_t").agg(F.count(F.lit(1)).alias("n_hit"))
     items = matches.select("_d", "_t", "phrase").distinct().join(index.items, "phrase") \
         .groupBy("_d", "_t").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    counted = index.documents.select("doc_id", "_d", "_t", F.regexp_count(
-        ascii_lower(text_or_empty()), F.lit(WORD)).cast("long").alias("n_words"))
+    counted = index.postings.where(F.col("term") == F.xxhash64(F.lit(END))).select(
+        F.when(F.col("_d") != NULL_ID, F.col("_d")).alias("doc_id"), "_d", "_t",
+        F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return (counted.join(hits.join(items, ["_d", "_t"]), ["_d", "_t"], "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
