@@ -130,7 +130,7 @@ FACETS = [
 
 
 def filter_options(t: Tables, as_of=None) -> DataFrame:
-    """Distinct filter values of the worklist as (facet, code, label) rows.
+    """Distinct filter values of the worklist as (facet, code, label) rows, sorted in each facet.
 
     One pass: each row is exploded into its eight facet entries and the
     entries are de-duplicated (partial aggregation removes repeats before the
@@ -142,7 +142,7 @@ def filter_options(t: Tables, as_of=None) -> DataFrame:
                         for f, c, lbl in FACETS])
     return (can.select(F.explode(entries).alias("e")).select("e.*")
             .where(F.col("code").isNotNull())
-            .distinct())
+            .distinct().orderBy("facet", "label", "code"))
 
 
 def pending_count(t: Tables, as_of=None) -> DataFrame:
