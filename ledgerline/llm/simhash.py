@@ -1,7 +1,7 @@
 """SimHash near-duplicates through pivot distance tables.
 
 ``fingerprints`` computes 64-bit SimHash values inside Arrow batches. Equal
-fingerprints collapse to one node (the smallest doc_id). For every node the
+fingerprints collapse to one node, named by the fingerprint. For every node the
 pivot table holds its Hamming distances to ``PIVOTS`` fixed reference
 fingerprints. Two fingerprints within ``max_bits`` of each other have
 coordinates that differ by at most ``max_bits`` for every pivot, so a pair with
@@ -20,8 +20,10 @@ Connected components use alternating large-star and small-star rounds with a
 written table each, so no link or component ever reaches the driver.
 
 Defined results: null text has no words and fingerprint zero, as empty text;
-zero links like any other value; rows that repeat a doc_id keep a row each;
-null doc_ids count as larger than all others; other columns are ignored.
+zero links like any other value; rows that repeat a doc_id, or have none, are
+separate documents that only their fingerprints can link; null doc_ids count as
+larger than all others, and a component without any doc_id has a null
+component_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ledgerline.llm.common import ascii_lower, map_arrow, stored, text_or_empty
 
@@ -70,19 +73,19 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [v - (1 << 64) if v >> 63 else v for v in raw]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the signed form of the 64-bit fingerprint."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple = ()) -> DataFrame:
+    """(doc_id, the columns of ``keep``, fp): fp is the signed form of the 64-bit fingerprint."""
     def values(batches):
         for batch in batches:
-            fps = [simhash(t.split(), shingle) for t in batch.column(1).to_pylist()]
+            fps = [simhash(t.split(), shingle) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))],
-                names=["doc_id", "fp"])
+                [*batch.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))],
+                names=[*batch.schema.names[:-1], "fp"])
 
     # bytes.split() splits on \x20 and \x09-\x0D only
-    rows = docs.select(F.col("doc_id").cast("long"),
+    rows = docs.select(F.col("doc_id").cast("long"), *keep,
                        ascii_lower(text_or_empty()).cast("binary").alias("norm"))
-    return map_arrow(rows, values, "doc_id long, fp long")
+    return map_arrow(rows, values, StructType([*rows.schema.fields[:-1]]).add("fp", LongType()))
 
 
 def bands(max_bits: int) -> list[int]:
@@ -149,29 +152,41 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def classes(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of (doc_id, fp) rows.
+
+    ``root`` names a component by its smallest fingerprint, ``component_id`` is its smallest doc_id.
+    """
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select(F.col("fp").alias("id"), "fp"), max_bits))
+    nodes = nodes.join(roots, nodes["fp"] == roots["id"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root") \
+        .select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id, is_first), a row per document."""
+    """(doc_id, fingerprint, component_id), a row per document."""
     rows = stored(fingerprints(docs, shingle), "simhash")
-    # a node is named by its smallest doc_id; rows without an id share one name after all others
-    nodes = stored(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("id")),
-                   "nodes")
-    roots = components(links(nodes, max_bits))
-    classes = nodes.join(roots, "id", "left").select(
-        "fp", F.coalesce("root", "id").alias("component_id"))
-    return rows.join(classes, "fp").select(
+    return rows.join(classes(rows, max_bits), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each component.
+    """``docs`` with one row of each component: the one with the smallest doc_id (null last).
 
-    Rows that repeat the doc_id of the kept document are reduced to one; rows
-    without a doc_id stay only if nothing with a doc_id is in their component,
-    and then one of them does.
+    Rows of a component that share that doc_id are told apart by a 128-bit hash
+    of all their columns, the smallest of which stays; of rows equal in every
+    column one stays.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    kept = found.select(F.col("component_id").alias("_kept")).distinct()
-    one = Window.partitionBy("_id").orderBy(F.col("text").asc_nulls_first())
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    rows = rows.join(kept, rows["_id"] == kept["_kept"], "left_semi")
-    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    flags = F.concat(*[F.col(f"`{c}`").isNull().cast("string") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumns({"_h1": F.xxhash64(flags, *columns),
+                               "_h2": F.xxhash64(F.lit(7), flags, *columns)})
+    rows = stored(fingerprints(marked, shingle, ("_h1", "_h2")), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")
+    first = rows.join(classes(rows, max_bits), "fp").groupBy("root").agg(F.min(order).alias("one")) \
+        .select(F.col("one._h1").alias("_a"), F.col("one._h2").alias("_b"))
+    equal = Window.partitionBy("_h1", "_h2").orderBy("doc_id")
+    kept = marked.join(first, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")), "left_semi")
+    return kept.withColumn("_n", F.row_number().over(equal)).where("_n = 1").select(*columns)
