@@ -139,8 +139,8 @@ def proximity_matches(index: Index, slack: int) -> DataFrame:
     return left.drop("_span").join(right, ["phrase", "_d", "_t", "start"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated), a row per document."""
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, _d, _t, n_words, n_hit, n_items, items, contaminated), a row per document."""
     index = build_index(docs, benchmark, window)
     matches = stored(phrase_matches(index), "matches")
     places = F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)
@@ -153,14 +153,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return (counted.join(hits.join(items, ["_d", "_t"]), ["_d", "_t"], "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            .select("doc_id", "_d", "_t", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
                     F.coalesce("items", none).alias("items"),
                     (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, contaminated), a row per document."""
+    return marked(docs, benchmark, window).drop("_d", "_t")
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark phrase."""
-    found = contamination(docs, benchmark, window).where("contaminated").select(
-        F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows that hold a benchmark phrase.
+
+    Rows are found again by doc_id and two hashes of the text, so a clean row
+    stays beside a contaminated one with the same doc_id, or none.
+    """
+    text = text_or_empty()
+    names = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)}
+    found = marked(docs, benchmark, window).where("contaminated").select("_d", "_t")
+    bad = keyed(docs).withColumns(names).join(found, ["_d", "_t"], "left_semi").select(
+        F.col("_d").alias("_bad"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b")).distinct()
+    same = ((F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("_bad"))
+            & (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")))
+    return docs.withColumns(names).join(bad, same, "left_anti").select(*docs.columns)
