@@ -11,7 +11,9 @@ copies that holds much of the corpus) is split: its records go to ``SPLIT``
 further slots by a hash of doc_id. There can be at most ``2 * shards`` such
 slots, so the map never has more than ``SLOTS + 2 * shards * SPLIT`` rows
 whatever the size of the corpus; that is the bound for collecting and
-broadcasting it. No text is shuffled: records are (doc_id, size, crc, slot).
+broadcasting it. Positions inside a slot with many rows are counted in ``PIECES``
+pieces by a hash of doc_id, so no slot is numbered by one task; at most a
+quarter of the slots can have four times the mean. No text is shuffled: records are (doc_id, size, crc, slot).
 
 Defined results: a null text has size 1 and the checksum of no bytes; rows
 that repeat a doc_id are separate records; an empty table gives no rows; other
@@ -27,6 +29,7 @@ from ledgerline.llm.common import local_table, stored, text_or_empty
 
 SLOTS = 4096
 SPLIT = 256
+PIECES = 64
 SHARDS = 8
 MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long, first long"
 
@@ -104,12 +107,21 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS,
                              "first": filled[shard]})
             filled[shard] += stats[slot][1]
     maps = stored(local_table(spark, versions, MAP_SCHEMA), "slot-map")
-    current = maps.where("version = 2").select(
-        F.col("slot").alias("virtual_slot"), "shard", "first")
-    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    many = 4 * sum(v[1] for v in stats.values()) / max(1, len(stats))
+    crowded = [s for s, v in stats.items() if v[1] > many]
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("piece")), F.lit(PIECES)).cast("int")
+    placed = placed.withColumn("_piece", F.when(F.col("virtual_slot").isin(crowded), part).otherwise(0)
+                               if crowded else F.lit(0))
+    earlier = Window.partitionBy("slot").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy(F.col("virtual_slot").alias("slot"), "_piece").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+               .join(F.broadcast(maps.where("version = 2")), "slot")
+               .select(F.col("slot").alias("virtual_slot"), "_piece", "shard",
+                       (F.col("first") + F.col("_before")).alias("_first")))
+    inside = Window.partitionBy("virtual_slot", "_piece").orderBy("doc_id", "text_crc32", "size")
     out = (placed.withColumn("_n", F.row_number().over(inside))
-           .join(F.broadcast(current), "virtual_slot")  # bounded: see the module text
+           .join(F.broadcast(offsets), ["virtual_slot", "_piece"])  # bounded: see the module text
            .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-                   (F.col("first") + F.col("_n") - 1).cast("long").alias("slot"),
+                   (F.col("_first") + F.col("_n") - 1).cast("long").alias("slot"),
                    F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"))
     return out, maps
