@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import decontamination, mixing, quality, sharding, simhash
 from ledgerline.llm.common import stored
-from ledgerline.llm.queries import table
+from ledgerline.llm.queries import fold, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose probability of good quality is under the threshold."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    """Drops documents whose probability of good quality is under the threshold.
+
+    Labels are learned from the same folds as in ``op4_quality``, so both decide alike.
+    """
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     scored = quality.score(docs, model, "_quality")
     return scored.where(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
 

@@ -220,6 +220,11 @@ def test_decontamination_matches_brute_force(spark):
     docs = documents(spark, rows)
     got = sorted((tuple(r) for r in decontamination.contamination(docs, bench).collect()), key=repr)
     assert got == brute_contamination(rows, items)
+    rows += [(None, f"y {items[0][1]}", None, None), (None, "quite clean", None, None), (None, None, None, None)]
+    clean = decontamination.clean_documents(documents(spark, rows), bench)
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=repr) == sorted(
+        ((i, t) for i, t, *_ in rows if not brute_contamination([(i, t)], items)[0][-1]), key=repr)
+    assert clean.columns == docs.columns
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     near = decontamination.build_index(documents(spark, [(1, "alpha x x beta gamma", None, None)]),
@@ -304,6 +309,12 @@ def test_simhash_rows(spark):
     got = simhash.near_duplicates(docs).toPandas()
     assert len(got) == len(rows) and set(got[got.doc_id.isin([3, 5])].component_id) == {3}
     assert set(got[got.fingerprint == "0" * 16].component_id) == {8}
+    loose = documents(spark, [(None, text, "en", "s"), (None, "else where now then", "en", "s"),
+                              (None, "else where now then", "en", "s"), (4, text.upper(), "en", "s"),
+                              (7, "one more thing here", "en", "s"), (7, "far from any other text", "en", "s")])
+    assert simhash.near_duplicates(loose).where("component_id is null").count() == 2
+    first = [(r["doc_id"], r["text"]) for r in simhash.keep_first(loose).collect()]
+    assert len(first) == 4 and (None, "else where now then") in first and {i for i, _ in first} == {None, 4, 7}
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 8, 10]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
@@ -316,6 +327,10 @@ def test_pipeline_stages(spark):
         docs = stage(spark, docs, SF)
         docs = corpus_pipeline.stored(docs, "test")
         assert docs.columns == columns and 0 < docs.count() <= 3 * rows, name
+        if name == "quality":  # the stage decides as the query does
+            scores = QUERIES["op4_quality"](spark, SF).where("predicted = 1")
+            assert docs.select("doc_id").exceptAll(scores.select("doc_id")).count() == 0 \
+                and docs.count() == scores.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count() and corpus_pipeline.run(spark, SF).count() == last.count()
 
