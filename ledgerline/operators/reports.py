@@ -209,41 +209,35 @@ def dashboard(t: Tables, as_of=None) -> DataFrame:
     Sections: ``pending`` (arrival lines to invoice), ``today`` / ``month``
     per currency, ``type`` per invoice type, and ``today_top`` /
     ``month_top`` (total count, largest currency and its total; USD and 0
-    when there is no invoice). The largest currency is ``max_by`` over
-    (total, code), so equal totals resolve to the greater code.
+    when there is no invoice). The largest currency is the maximum of
+    (total, code), so equal totals resolve to the greater code. All rows by
+    currency come from one aggregate of the month's invoices.
     """
-    cols = ["section", "label", "count", "total"]
     money = "decimal(18,2)"
-    by_cur = _by_currency(t, as_of)
-    parts = [
-        pending_count(t, as_of).select(F.lit("pending").alias("section"),
-                                       F.lit(None).cast("string").alias("label"),
-                                       F.col("pending_count").alias("count"),
-                                       F.lit(None).cast(money).alias("total")),
-        by_cur.where(F.col("today_count") > 0).select(
-            F.lit("today").alias("section"), F.col("currency").alias("label"),
-            F.col("today_count").alias("count"), F.col("today_total").cast(money).alias("total")),
-        by_cur.select(F.lit("month").alias("section"), F.col("currency").alias("label"),
-                      F.col("month_count").alias("count"),
-                      F.col("month_total").cast(money).alias("total")),
-        invoice_type_breakdown(t, as_of).select(
-            F.lit("type").alias("section"), F.col("invoice_type").alias("label"),
-            F.col("type_count").alias("count"), F.lit(None).cast(money).alias("total")),
-    ]
-    for section, cnt, tot in (("today", "today_count", "today_total"),
-                              ("month", "month_count", "month_total")):
-        src = by_cur.where(F.col(cnt) > 0) if section == "today" else by_cur
-        top = F.max_by(F.struct(F.col(tot).alias("t"), F.col("currency").alias("c")),
-                       F.struct(F.col(tot), F.col("currency")))
-        parts.append(src.agg(F.coalesce(F.sum(cnt), F.lit(0)).alias("count"), top.alias("top"))
-                     .select(F.lit(section + "_top").alias("section"),
-                             F.coalesce(F.col("top.c"), F.lit("USD")).alias("label"),
-                             F.col("count").cast("bigint").alias("count"),
-                             F.coalesce(F.col("top.t"), F.lit(0)).cast(money).alias("total")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out
+    row = lambda section, label, count, total: F.struct(
+        F.lit(section).alias("section"), label.alias("key"), F.col("currency").alias("label"),
+        F.col(count).alias("count"), F.col(total).cast(money).alias("total"))
+    none = F.lit(None).cast("string")
+    today = F.array(row("today", F.col("currency"), "today_count", "today_total"),
+                    row("today_top", none, "today_count", "today_total"))
+    month = F.array(row("month", F.col("currency"), "month_count", "month_total"),
+                    row("month_top", none, "month_count", "month_total"))
+    shown = F.when(F.col("today_count") > 0, F.concat(today, month)).otherwise(month)
+    rows = _by_currency(t, as_of).select(F.explode(shown).alias("r")).select("r.*")
+    # a row of its own keeps both tops when there is no invoice
+    always = t.spark.range(1).select(F.explode(F.array(F.lit("today_top"), F.lit("month_top"))).alias("section"))
+    rows = rows.unionByName(always, allowMissingColumns=True)
+    largest = F.max(F.when(F.col("total").isNotNull(), F.struct("total", "label")))
+    by_currency = rows.groupBy("section", "key").agg(
+        F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("count"), largest.alias("_max")).select(
+        "section", F.when(F.col("section").endswith("_top"), F.coalesce("_max.label", F.lit("USD")))
+        .otherwise(F.col("key")).alias("label"), "count",
+        F.coalesce("_max.total", F.lit(0)).cast(money).alias("total"))
+    plain = lambda df, section, label, count: df.select(
+        F.lit(section).alias("section"), label.alias("label"), F.col(count).alias("count"),
+        F.lit(None).cast(money).alias("total"))
+    return (plain(pending_count(t, as_of), "pending", none, "pending_count").unionByName(by_currency)
+            .unionByName(plain(invoice_type_breakdown(t, as_of), "type", F.col("invoice_type"), "type_count")))
 
 
 def max_invoice_id(t: Tables) -> DataFrame:

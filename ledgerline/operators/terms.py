@@ -50,19 +50,27 @@ def term_rules(df: DataFrame, name_col: str = "name") -> DataFrame:
 
 def invoice_due_dates(t: Tables) -> DataFrame:
     """For every active invoice: its term's category, computed due date,
-    explanation, review flag and both day counts."""
+    explanation, review flag and both day counts.
+
+    Terms are parsed in the term table, once each; an invoice adds date
+    arithmetic only. An unknown term id is parsed as a missing name."""
     pi = active(t.purchase_invoices).select(
         F.col("id").alias("invoice_id"), "invoiced_date", "payment_term_id")
-    terms = dim(t.payment_terms.select(F.col("id").alias("payment_term_id"),
-                                       F.col("name").alias("term_name"), "description"))
-    j = pi.join(terms, "payment_term_id", "left")
-    due = T.due_date(F.col("term_name"), F.col("invoiced_date"), F.col("description"))
+
+    def parsed(name, description):
+        return F.struct(T.due_rule(name, description).alias("due"),
+                        T.term_days_by_category(name).alias("days_by_category"),
+                        T.term_days_simple(name).alias("days_simple"))
+
+    terms = dim(t.payment_terms).select(
+        F.col("id").alias("payment_term_id"), F.col("name").alias("term_name"),
+        parsed(F.col("name"), F.col("description")).alias("_known"))
+    none = parsed(F.lit(None).cast("string"), F.lit(None).cast("string"))
+    j = pi.join(terms, "payment_term_id", "left").withColumn("_t", F.coalesce("_known", none))
     return j.select(
-        "invoice_id", "term_name", "invoiced_date",
-        due.getField("category").alias("category"),
-        due.getField("due_date").alias("due_date"),
-        due.getField("explanation").alias("explanation"),
-        due.getField("needs_review").alias("needs_review"),
-        T.term_days_by_category(F.col("term_name")).alias("days_by_category"),
-        T.term_days_simple(F.col("term_name")).alias("days_simple"),
-    )
+        "invoice_id", "term_name", "invoiced_date", F.col("_t.due.category").alias("category"),
+        T.due_on("_t.due.rule", "_t.due.days", "invoiced_date").alias("due_date"),
+        F.col("_t.due.explanation").alias("explanation"),
+        F.col("_t.due.needs_review").alias("needs_review"),
+        F.col("_t.days_by_category").alias("days_by_category"),
+        F.col("_t.days_simple").alias("days_simple"))

@@ -230,16 +230,22 @@ def _build_selections(t: Tables) -> DataFrame:
     return by_po.unionByName(by_month)
 
 
+def _requests(t: Tables) -> DataFrame:
+    """Stand-in selection requests: every purchase order, pending lines or not, and every month."""
+    orders = t.purchase_orders.select(F.col("id").alias("selection_id"))
+    return orders.union(sample_selections(t).select("selection_id"))
+
+
 @query("selection_check")
 def q_selection_check(t: Tables) -> DataFrame:
-    """DOM2: one vendor / vendor type / entity per selection."""
-    return selections.selection_check(sample_selections(t))
+    """DOM2: one vendor / vendor type / entity per requested selection, empty ones included."""
+    return selections.selection_check(sample_selections(t), _requests(t))
 
 
 @query("po_level_check")
 def q_po_level_check(t: Tables) -> DataFrame:
-    """DOM3: PO-level verdict per selection."""
-    return selections.po_level_check(t, sample_selections(t))[0]
+    """DOM3: PO-level verdict per requested selection, empty ones included."""
+    return selections.po_level_check(t, sample_selections(t), _requests(t))[0]
 
 
 @query("po_level_messages")

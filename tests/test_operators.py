@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import selections
 from ledgerline.operators.dedup import first_per_key
 from ledgerline.operators.sequence import row_numbers
 
@@ -34,3 +35,14 @@ def test_first_per_key_picks_latest_and_keeps_nulls_last(spark):
     got = {r.k: (r.d, r.v) for r in first_per_key(df, ["k"], [F.col("d")]).collect()}
     # the latest row wins even with a NULL value; a NULL ordering key sorts lowest
     assert got == {"a": (3, None), "b": (1, 6.0)}
+
+
+def test_requested_selection_without_rows_fails(spark):
+    sel = spark.createDataFrame(
+        [(1, 1, "v", "External", "e"), (2, 2, "v", "External", "e"), (2, 3, "w", "External", "e")],
+        "selection_id long, line_no long, vendor_code string, vendor_type string, legal_entity_code string")
+    requests = spark.createDataFrame([(1,), (2,), (9,), (9,)], "selection_id long")
+    got = {r["selection_id"]: (r["is_valid"], r["error"]) for r in
+           selections.selection_check(sel, requests).collect()}
+    assert got[1] == (True, "") and not got[2][0] and got[9] == (False, "No items selected") and len(got) == 3
+    assert selections.selection_check(sel).count() == 2
