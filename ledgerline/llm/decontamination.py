@@ -84,8 +84,8 @@ def rarest_terms(index: Index, keep: int = 2) -> DataFrame:
 
     A phrase with a term that no document has can't occur and is left out.
     """
-    counts = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    found = index.phrases.join(counts, "term", "left")
+    counts = stored(index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
+    found = index.phrases.join(small(counts, counts.count()), "term", "left")
     inside = Window.partitionBy("phrase")
     return (found.withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(inside))
             .where("least > 0")
