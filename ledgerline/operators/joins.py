@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 DIM_MAX_BYTES = 32 << 20
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size of ``df``, from the bytes of the files behind it; runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def is_bounded(df: DataFrame, max_bytes: int = DIM_MAX_BYTES) -> bool:
-    """True when the optimizer's size, from the bytes of the files behind ``df``, is small.
+    """True when the optimizer's size is small.
 
-    Runs no job. Packed columns can be some times larger in memory, which the limit allows for.
+    Packed columns can be some times larger in memory, which the limit allows for.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size) <= max_bytes
+    return plan_bytes(df) <= max_bytes
 
 
 def dim(df: DataFrame, max_bytes: int = DIM_MAX_BYTES) -> DataFrame:
