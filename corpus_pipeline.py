@@ -11,7 +11,6 @@ against a brute-force version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerline.llm import decontamination, mixing, quality, sharding, simhash
 from ledgerline.llm.common import stored
@@ -24,8 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Labels are learned from the same folds as in ``op4_quality``, so both decide alike.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
-    scored = quality.score(docs, model, "_quality")
-    return scored.where(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.filtered(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

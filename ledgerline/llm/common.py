@@ -8,9 +8,10 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.sequence import row_numbers
 from ledgerline.session import checkpoint_root
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -72,16 +73,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that columns added beside it can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _d, _t): ``(_d, _t)`` names one row and sorts like ``doc_id``.
 
     ``_d`` is doc_id (null: before all others). ``_t`` is 0 unless a doc_id
-    occurs in several rows, which are then numbered in the order of their text.
+    occurs in several rows, which are then numbered in the order of their text,
+    by a range sort, so that many rows with one doc_id, or none, don't meet in one task.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn(
         "_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     repeated = rows.groupBy("_d").count().where("count > 1").limit(1).count()
     if not repeated:
         return rows.withColumn("_t", F.lit(0))
-    order = Window.partitionBy("_d").orderBy(F.col("text").asc_nulls_first())
-    return rows.withColumn("_t", F.row_number().over(order) - 1)
+    numbered = row_numbers(rows, ["_d"], ["text"], out="_t")
+    return numbered.select("doc_id", "text", "_d", (F.col("_t") - 1).cast("int").alias("_t"))

@@ -28,7 +28,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import NULL_ID, ascii_lower, keyed, stored, text_or_empty
+from ledgerline.llm.common import NULL_ID, ascii_lower, keyed, stored, text_or_empty, whole_row
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
@@ -177,4 +177,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
         F.col("_d").alias("_bad"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b")).distinct()
     same = ((F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("_bad"))
             & (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")))
-    return docs.withColumns(names).join(bad, same, "left_anti").select(*docs.columns)
+    rows = docs.select(whole_row(docs), "doc_id", *[h.alias(c) for c, h in names.items()])
+    return rows.join(bad, same, "left_anti").select("_row.*")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, stored, text_or_empty
+from ledgerline.llm.common import WORD, stored, text_or_empty, whole_row
 
 WEIGHTS = (5, 2, 1)
 #: Curriculum slope of the weight classes: the first fades, the last grows.
@@ -40,7 +40,7 @@ def sized_documents(docs: DataFrame, seed: int = 0, whole: bool = False) -> Data
     """
     text = text_or_empty()
     return docs.select(
-        *([F.struct(*docs.columns).alias("_row")] if whole else []),
+        *([whole_row(docs)] if whole else []),
         "doc_id", F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
     ).withColumns({

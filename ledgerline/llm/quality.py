@@ -175,6 +175,15 @@ def probability(text: bytes | None, model: Model, pair) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def filtered(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``."""
+    column = "_quality"
+    while column in map(str.lower, docs.columns):
+        column += "_"
+    scored = score(docs, model, column)
+    return scored.where(F.col(column) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 appended; other columns pass through."""
     spark_schema = docs.schema

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from ledgerline.llm.common import ascii_lower, map_arrow, stored, text_or_empty
+from ledgerline.llm.common import ascii_lower, map_arrow, stored, text_or_empty, whole_row
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -181,12 +181,12 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     """
     flags = F.concat(*[F.col(f"`{c}`").isNull().cast("string") for c in docs.columns])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumns({"_h1": F.xxhash64(flags, *columns),
-                               "_h2": F.xxhash64(F.lit(7), flags, *columns)})
+    marked = docs.select(whole_row(docs), "doc_id", "text", F.xxhash64(flags, *columns).alias("_h1"),
+                         F.xxhash64(F.lit(7), flags, *columns).alias("_h2"))
     rows = stored(fingerprints(marked, shingle, ("_h1", "_h2")), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")
     first = rows.join(classes(rows, max_bits), "fp").groupBy("root").agg(F.min(order).alias("one")) \
         .select(F.col("one._h1").alias("_a"), F.col("one._h2").alias("_b"))
     equal = Window.partitionBy("_h1", "_h2").orderBy("doc_id")
     kept = marked.join(first, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")), "left_semi")
-    return kept.withColumn("_n", F.row_number().over(equal)).where("_n = 1").select(*columns)
+    return kept.withColumn("_n", F.row_number().over(equal)).where("_n = 1").select("_row.*")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerline.llm import decontamination, exact_dedup, langid, mixing, quality, sharding, simhash, warc
+from ledgerline.llm.common import keyed
 from ledgerline.llm.queries import QUERIES, fold
 
 SF = "/root/testdata/sf0.001"
@@ -335,6 +336,29 @@ def test_pipeline_stages(spark):
     assert last.count() == docs.count() and corpus_pipeline.run(spark, SF).count() == last.count()
 
 
+def test_stages_keep_columns_with_clashing_names(spark):
+    """Columns named like the operators' own, or with a dot, come out as they went in."""
+    extra = ["_row", "_h1", "_h2", "_n", "_d", "_t", "_a", "_copy", "_quality", "score", "size", "fp", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80).select(
+        "*", *[F.col("doc_id").cast("string").alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        same = [F.col(f"`{c}`").eqNullSafe(F.col("doc_id").cast("string")) for c in extra]
+        rows = out.select("doc_id", *[s.alias(f"c{i}") for i, s in enumerate(same)]).collect()
+        assert rows and all(all(r[1:]) for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 80
+
+
+def test_rows_of_one_id_are_numbered_by_text(spark):
+    rows = [(None, f"t{i % 40}") for i in range(300)] + [(1, "b"), (1, None), (1, "a"), (2, "z")]
+    got = keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len({(r["_d"], r["_t"]) for r in got}) == len(rows)
+    for i in (None, 1, 2):
+        own = sorted((r["_t"], r["text"] is not None, r["text"] or "") for r in got if r["doc_id"] == i)
+        assert [o[0] for o in own] == list(range(len(own))) and [o[1:] for o in own] == sorted(o[1:] for o in own)
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(0,), (7,), (None,)], "doc_id long").select(fold("doc_id", 4).alias("k"))
     import zlib
