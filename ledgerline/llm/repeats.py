@@ -13,7 +13,10 @@ group of copies reaches a bucket once per batch. An anchor with more than
 ``HOT_RUNS`` different runs in a batch (a passage between ever different
 neighbours) is *hot*: its runs bypass the buckets and are compared window by
 window, keyed by the window's own hash, which splits at any size; a marker tells
-the bucket to do the same with its runs of that anchor.
+the bucket to do the same with its runs of that anchor. The more batches there
+are, the lower that limit, so that all batches together bring a bucket at most
+about ``BUCKET_RUNS`` runs of an anchor. An anchor that reaches ``ANCHOR_RUNS`` different runs
+only in its bucket is treated as hot from there on. The results don't depend on these limits.
 """
 
 from __future__ import annotations
@@ -27,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import NULL_ID, keyed, map_arrow
+from ledgerline.operators.joins import plan_bytes
 
 U = np.uint64
 #: Buckets are at least this power of two, and about four to a shuffle partition.
 BUCKET_BITS = 9
 HOT_RUNS = 256
+ANCHOR_RUNS = 1024
+BUCKET_RUNS = 1 << 18
 #: Later copies and hot runs only pass through the buckets, in pieces of so many.
 PIECE_ROWS = 20_000
 BLOCK_TOKENS = 1 << 20
@@ -150,7 +156,7 @@ def runs(block: Block, shape: Shape):
     one, two = Rolling(block.values[0], 0), Rolling(block.values[1], 1)
     at = np.arange(n - head + 1)
     anchors = mix(one.of(at, head))
-    mask = U((1 << max(1, int(n).bit_length())) - 1)
+    mask = U(0xFFFFFFFF)  # the same for every block, so that ties fall alike everywhere
     least = sliding_min((anchors & ~mask) | at.astype(U), length - head + 1) & mask
     doc_of = np.repeat(np.arange(len(block.edges) - 1), np.diff(block.edges))
     whole = doc_of[:n - length + 1] == doc_of[length - 1:]
@@ -225,6 +231,13 @@ def bucket_bits(spark) -> int:
     return max(BUCKET_BITS, (4 * parts - 1).bit_length())
 
 
+def batch_limit(docs: DataFrame) -> int:
+    """Different runs that an anchor may have in a batch: fewer, the more batches there will be."""
+    conf = docs.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    split = int(conf.byteStringAsBytes(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")))
+    return max(4, min(HOT_RUNS, BUCKET_RUNS // (plan_bytes(docs) // split + 1)))
+
+
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers start[i] .. start[i] + count[i] - 1, one range after another."""
     return np.repeat(start - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
@@ -270,9 +283,10 @@ def with_bodies(docs: DataFrame) -> DataFrame:
     return keyed(docs).select("_d", "_t", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
 
 
-def run_batches(docs: DataFrame, shape: Shape, hot_runs: int = HOT_RUNS) -> DataFrame:
+def run_batches(docs: DataFrame, shape: Shape, hot_runs: int | None = None) -> DataFrame:
     """The runs of all documents, batched per map task and bucketed by anchor."""
     bits = bucket_bits(docs.sparkSession)
+    hot_runs = hot_runs or batch_limit(docs)
 
     def values(batches):
         parts, n = [], 0

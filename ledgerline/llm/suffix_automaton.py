@@ -111,9 +111,10 @@ def stream_shard(table: pa.Table) -> pa.Table:
     return R.spans_table(*(zip(*out) if out else ([], [], [], [])))
 
 
-def repeated_windows(docs: DataFrame, hot_runs: int = R.HOT_RUNS) -> DataFrame:
+def repeated_windows(docs: DataFrame, hot_runs: int | None = None,
+                     anchor_runs: int = R.ANCHOR_RUNS) -> DataFrame:
     """(_d, _t, start, n): runs of word windows that occur earlier."""
-    found = stored(scanned(R.run_batches(docs, SHAPE, hot_runs)), "found")
+    found = stored(scanned(R.run_batches(docs, SHAPE, hot_runs), anchor_runs=anchor_runs), "found")
     streamed = group_arrow(R.reference_rows(flagged_documents(found, docs, ["F"]), SHAPE), "bucket",
                            stream_shard, R.SPANS)
     hot = scanned(R.window_batches(flagged_documents(found, docs, ["H"]), SHAPE), False)
@@ -121,11 +122,11 @@ def repeated_windows(docs: DataFrame, hot_runs: int = R.HOT_RUNS) -> DataFrame:
             .union(hot.select("_d", "_t", "start", "n")))
 
 
-def remove(docs: DataFrame, hot_runs: int = R.HOT_RUNS) -> DataFrame:
+def remove(docs: DataFrame, hot_runs: int | None = None, anchor_runs: int = R.ANCHOR_RUNS) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept): kept is the words that stay, joined by one space."""
     def cut(body, marks):
         words = body.split()  # on \x20 and \x09-\x0D
         gone = R.gone_tokens(marks, LENGTH, len(words))
         return len(words), gone, b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
 
-    return R.cut_documents(docs, repeated_windows(docs, hot_runs), cut, "n_words")
+    return R.cut_documents(docs, repeated_windows(docs, hot_runs, anchor_runs), cut, "n_words")

@@ -95,11 +95,12 @@ def found_rows(kind: str, c: dict) -> pa.Table:
                      "start": c["start"], "n": c["n"].astype(np.int32), "kgram": c["kgram"].view(np.int64)})
 
 
-def scan_bucket(table: pa.Table, partial: bool = True) -> tuple[list[pa.Table], Family]:
+def scan_bucket(table: pa.Table, partial: bool = True,
+                anchor_runs: int = R.ANCHOR_RUNS) -> tuple[list[pa.Table], Family]:
     """(found rows, family) of one bucket.
 
     Kinds: D, all windows are repeats; F, a first run whose anchor has other
-    runs too; H, the same for a hot anchor.
+    runs too; H, the same for a hot anchor (of more than ``anchor_runs`` runs, or marked).
     """
     rows = sorted(table.to_pylist(), key=lambda r: (r["kind"] != "L", r["batch"]))
     family, later, hot_runs, hot = Family(), [], [], []
@@ -117,19 +118,21 @@ def scan_bucket(table: pa.Table, partial: bool = True) -> tuple[list[pa.Table],
         c = family.all()
         c = R.pick(c, np.argsort(c["kgram"], kind="stable"))
         starts, group = R.group_sizes(c["kgram"])
-        several = np.diff(np.append(starts, len(group)))[group] > 1
-        in_hot = np.isin(c["kgram"], np.concatenate(hot)) if hot else np.zeros(len(group), bool)
-        out += [found_rows("F", R.pick(c, several & ~in_hot)), found_rows("H", R.pick(c, in_hot))]
+        size = np.diff(np.append(starts, len(group)))[group]
+        in_hot = size > anchor_runs
+        if hot:
+            in_hot |= np.isin(c["kgram"], np.concatenate(hot))
+        out += [found_rows("F", R.pick(c, (size > 1) & ~in_hot)), found_rows("H", R.pick(c, in_hot))]
         out += [found_rows("H", x) for x in hot_runs]
     return out, family
 
 
-def scanned(batches: DataFrame, partial: bool = True) -> DataFrame:
+def scanned(batches: DataFrame, partial: bool = True, anchor_runs: int = R.ANCHOR_RUNS) -> DataFrame:
     schema = pa.schema([("kind", pa.string()), ("_d", pa.int64()), ("_t", pa.int32()),
                         ("start", pa.int64()), ("n", pa.int32()), ("kgram", pa.int64())])
 
     def scan(table):
-        parts = scan_bucket(table, partial)[0]
+        parts = scan_bucket(table, partial, anchor_runs)[0]
         return pa.concat_tables([schema.empty_table(), *(p.cast(schema) for p in parts)])
 
     return group_arrow(batches, "bucket", scan, FOUND)
@@ -178,9 +181,10 @@ def window_array(table: pa.Table) -> pa.Table:
                          np.diff(np.append(first, len(at))))
 
 
-def repeated_windows(docs: DataFrame, hot_runs: int = R.HOT_RUNS) -> DataFrame:
+def repeated_windows(docs: DataFrame, hot_runs: int | None = None,
+                     anchor_runs: int = R.ANCHOR_RUNS) -> DataFrame:
     """(_d, _t, start, n): runs of byte windows that occur earlier."""
-    found = stored(scanned(R.run_batches(docs, SHAPE, hot_runs)), "found")
+    found = stored(scanned(R.run_batches(docs, SHAPE, hot_runs), anchor_runs=anchor_runs), "found")
     near = group_arrow(R.reference_rows(flagged_documents(found, docs, ["F"]), SHAPE), "bucket",
                        window_array, R.SPANS)
     hot = scanned(R.window_batches(flagged_documents(found, docs, ["H"]), SHAPE), False)
@@ -188,10 +192,10 @@ def repeated_windows(docs: DataFrame, hot_runs: int = R.HOT_RUNS) -> DataFrame:
             .union(hot.select("_d", "_t", "start", "n")))
 
 
-def remove(docs: DataFrame, hot_runs: int = R.HOT_RUNS) -> DataFrame:
+def remove(docs: DataFrame, hot_runs: int | None = None, anchor_runs: int = R.ANCHOR_RUNS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept), kept being the bytes that stay."""
     def cut(body, marks):
         gone = R.gone_tokens(marks, LENGTH, len(body))
         return len(body), gone, np.frombuffer(body, np.uint8)[~gone].tobytes() if marks else body
 
-    return R.cut_documents(docs, repeated_windows(docs, hot_runs), cut, "n_bytes")
+    return R.cut_documents(docs, repeated_windows(docs, hot_runs, anchor_runs), cut, "n_bytes")

@@ -47,15 +47,15 @@ def brute(rows, length, split, join):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot_runs", [R.HOT_RUNS, 2])
+@pytest.mark.parametrize("hot_runs, anchor_runs", [(None, R.ANCHOR_RUNS), (256, 256), (256, 3), (2, 256), (1, 1)])
 @pytest.mark.parametrize("op", [suffix_index, suffix_automaton])
-def test_removal_matches_brute_force(spark, op, hot_runs):
+def test_removal_matches_brute_force(spark, op, hot_runs, anchor_runs):
     rows = corpus()
     if op is suffix_index:
         want = brute(rows, 100, list, bytes)
     else:
         want = brute(rows, 20, bytes.split, b" ".join)
-    out = op.remove(frame(spark, rows), hot_runs=hot_runs)
+    out = op.remove(frame(spark, rows), hot_runs=hot_runs, anchor_runs=anchor_runs)
     got = sorted(((r[0], r[1], r[2], bytes(r["kept"])) for r in out.collect()), key=repr)
     assert got == want
     assert sum(w[2] for w in want) > 500
@@ -109,6 +109,16 @@ def test_pieces_of_a_long_text_cover_all_windows(monkeypatch):
     assert (seen[:len(body) - 99] == 1).all() and not seen[len(body) - 99:].any()
 
 
+def test_anchors_do_not_depend_on_the_block():
+    rnd = random.Random(6)
+    body = bytes(rnd.randrange(97, 100) for _ in range(5000))
+    alone = R.blocks(pa.array([body], pa.binary()), suffix_index.SHAPE)
+    beside = R.blocks(pa.array([b"x" * 300_000, body], pa.binary()), suffix_index.SHAPE)
+    one, two = (R.entries(next(b), suffix_index.SHAPE, np.arange(2), np.zeros(2, np.int32)) for b in (alone, beside))
+    two = R.pick(two, two["doc"] == 1)
+    assert all((one[k] == two[k]).all() for k in ("kgram", "run", "start", "n"))
+
+
 def test_suffix_automaton_statistics():
     rnd = random.Random(2)
     for _ in range(200):
