@@ -264,7 +264,8 @@ def batch_rows(parts: list[dict], bits: int, hot_runs: int | None = HOT_RUNS):
             cuts = np.append(0, np.flatnonzero(np.diff(bucket)) + 1)
         else:
             cuts = np.arange(0, n, PIECE_ROWS)
-            bucket = (columns["run"] >> U(64 - bits)).astype(np.int64)
+            # any bucket will do; with the document in it, pieces of the same copies spread
+            bucket = (mix(columns["run"] + columns["doc"].view(U)) >> U(64 - bits)).astype(np.int64)
         for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], n).tolist()):
             if hi > lo:
                 out.append({"bucket": int(bucket[lo]), "batch": int(columns["doc"][lo:hi].min()),
