@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 appended; other columns pass through."""
     spark_schema = docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a few hundred kB at most
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, column]
 
     def values(batches):
         m = Model(*shared.value)
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             p = [probability(t.encode() if isinstance(t, str) else t, m, pair) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())],
-                                             names=[*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=names)
 
-    return map_arrow(docs, values, StructType([*spark_schema.fields]).add(column, DoubleType()))
+    # columns go in by number, since a name may hold a dot
+    return map_arrow(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), values, StructType([*spark_schema.fields]).add(column, DoubleType()))
