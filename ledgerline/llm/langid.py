@@ -8,9 +8,10 @@ leaves all of them). A Viterbi pass over the words of a whole text, with a
 penalty for each switch, labels spans; the text's language is the one with the
 most letters on the best path.
 
-Texts whose best path can't contain a switch are found first, exactly: if no
-stretch of words gains more than one penalty by another language than the best
-overall one, no path with a switch can win. Only other texts run the full pass.
+Texts whose best path can't contain a switch are found first, exactly. A path
+with m switches has at most m + 1 stretches in other languages than the best
+overall one, so if no stretch gains more than half a penalty over that one, the
+gains can't exceed (m + 1) / 2 <= m penalties. Only other texts run the full pass.
 
 Training reads a bounded sample of about ``PER_LANGUAGE`` documents a language,
 chosen by hash among all training rows. Models hold at most ``MAX_LANGUAGES``.
@@ -202,9 +203,9 @@ def viterbi(s: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
 
 
 def switch_can_pay(s: np.ndarray, best: int, penalty: float) -> bool:
-    """Whether some stretch of words gains more than ``penalty`` by another language than ``best``."""
+    """Whether some stretch of words gains more than half of ``penalty`` by another language than ``best``."""
     run = np.vstack([np.zeros(s.shape[1]), np.cumsum(s - s[:, best:best + 1], axis=0)])
-    return bool((run - np.minimum.accumulate(run, axis=0)).max() > penalty)
+    return bool((run - np.minimum.accumulate(run, axis=0)).max() > penalty / 2)
 
 
 def label(texts: list[str | None], model: Model, penalty: float = SWITCH_PENALTY) -> list[dict]:

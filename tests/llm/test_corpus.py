@@ -51,6 +51,27 @@ def test_viterbi_shortcut_is_exact():
         assert value(langid.viterbi(s, penalty)) == pytest.approx(max(value(p) for p in paths))
 
 
+def test_viterbi_switches_between_languages_that_are_not_best_overall():
+    """Two stretches pay for one switch, so each needs only half a penalty of gain."""
+    s = np.array([[0.0, -20.0, -8.0], [-20.0, 0.0, -8.0]])
+    assert langid.viterbi(s, 12.0).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_viterbi_reaches_the_best_value(seed):
+    rnd = np.random.default_rng(seed)
+    for n, m, spread in [(n, m, spread) for n in (2, 3, 5, 9, 20) for m in (2, 3, 6) for spread in (1, 2, 5)]:
+        penalty, s = rnd.uniform(1, 12), -np.abs(rnd.normal(0, spread, (250, n, m)))
+        best = s[:, 0]  # of all paths, for all cases at once
+        for i in range(1, n):
+            best = np.maximum(best, best.max(axis=1, keepdims=True) - penalty) + s[:, i]
+        got = []
+        for case in s:
+            p = langid.viterbi(case, penalty)
+            got.append(case[np.arange(n), p].sum() - penalty * (np.diff(p) != 0).sum())
+        assert got == pytest.approx(best.max(axis=1).tolist())
+
+
 def test_scripts():
     w = langid.words_of(["abc дом 漢字 é"])
     assert [langid.SCRIPTS[i] for i in w.script] == ["latin", "cyrillic", "han", "latin"]
