@@ -13,7 +13,8 @@ cut by hash into 4096 buckets per source, bucket totals give offsets,
 and only a bucket is ordered at a time. Only the table of sources (one row
 each) is ordered as a whole.
 
-Defined results: a null text has size 0; null is a source of its own; rows that
+Defined results: a null text has size 0; a source without words has target 0 and its
+documents come first; null is a source of its own; rows that
 repeat a doc_id are separate documents; no rows give no rows; documents that
 are not taken get ``taken`` 0 and a position of 1 or more.
 """
@@ -145,7 +146,8 @@ def mixed_texts(docs: DataFrame, passes: int = PASSES, **options) -> DataFrame:
                        for k in range(passes)])
     part = F.filter(copies, lambda c: (c.w > 0) | ((F.col("size") == 0) & (c.k == 0)))
     copies = plan.withColumn("_copy", F.explode(part))
-    u = (F.col("_start") + F.col("_copy.k") * F.col("source_size")) / F.col("target")
+    # a source without words has the target 0
+    u = F.try_divide(F.col("_start") + F.col("_copy.k") * F.col("source_size"), F.col("target"))
     copies = copies.withColumn("_at", demand_inverse(F.coalesce(u, F.lit(0.0)), F.col("_slope")))
     pieces = F.regexp_extract_all(F.col("_row.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_copy.w").cast("int")), "")

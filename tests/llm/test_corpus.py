@@ -201,6 +201,20 @@ def test_mixing(spark, seed):
     assert mixing.mix(documents(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_mixing_keeps_sources_without_words(spark, words):
+    """Without words a source's target is 0; its documents take part once, unchanged."""
+    rows = [(1, None, None, "blank"), (2, "", None, "blank"), (3, " \t\n", None, "blank"), (None, None, None, None)]
+    rows += [(10 + i, "one two three" if words else " ", None, "full") for i in range(20)]
+    docs = documents(spark, rows)
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == len(rows) and set(got[got.doc_id.isin([1, 2, 3])].target) == {0.0}
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect()]
+    blank = sorted(((i, t) for i, t, *_ in rows if not (t or "").strip()), key=repr)
+    assert sorted((r for r in out if not (r[1] or "").strip()), key=repr) == blank
+    assert sum(len((t or "").split()) for _, t in out) == (60 if words else 0)
+
+
 def test_demand_inverse(spark):
     df = spark.range(0, 101).select((F.col("id") / 100).alias("u"))
     for slope in (-0.9, -0.5, 0.0, 0.5):
