@@ -13,7 +13,11 @@ slots, so the map never has more than ``SLOTS + 2 * shards * SPLIT`` rows
 whatever the size of the corpus; that is the bound for collecting and
 broadcasting it. Positions inside a slot with many rows are counted in ``PIECES``
 pieces by a hash of doc_id, so no slot is numbered by one task; at most a
-quarter of the slots can have four times the mean. No text is shuffled: records are (doc_id, size, crc, slot).
+quarter of the slots can have four times the mean. Where copies of one text also
+share a doc_id, or have none, and hold more rows or bytes than an average slot, those
+hashes take in the number of the row as read, so such copies spread as well; there are
+at most ``2 * SLOTS`` such groups. No text is shuffled: records are (doc_id, size,
+crc, slot, row number).
 
 Defined results: a null text has size 1 and the checksum of no bytes; rows
 that repeat a doc_id are separate records; an empty table gives no rows; other
@@ -40,13 +44,29 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         F.col("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("base"))
+        F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("base"),
+        F.monotonically_increasing_id().alias("_row"))
+
+
+def with_spread(rows: DataFrame, bases: list[int], slots: int = SLOTS) -> DataFrame:
+    """Adds ``_spread``: the row number of records whose (base, doc_id) outweighs an average slot, else null."""
+    if not bases:
+        return rows.withColumn("_spread", F.lit(None).cast("long"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
+    heavy = rows.where(F.col("base").isin(bases)).groupBy("base", "doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where(
+        (F.col("n") > 1) & ((F.col("n") * slots > total["n"]) | (F.col("size") * slots > total["size"])))
+    heavy = stored(heavy.select(F.col("base").alias("_base"), F.col("doc_id").alias("_id")), "heavy-ids")
+    same = (F.col("base") == F.col("_base")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return (rows.join(F.broadcast(heavy), same, "left")  # bounded: see the module text
+            .withColumn("_spread", F.when(F.col("_base").isNotNull(), F.col("_row"))).drop("_base", "_id"))
 
 
 def slot_of(hot: list[int], slots: int = SLOTS, split: int = SPLIT) -> Column:
     """The slot of a record; records of the k-th hot base slot are spread over split slots."""
     slot = F.col("base")
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("split")), F.lit(split))
+    # a null leaves a hash as it is
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("split"), F.col("_spread")), F.lit(split))
     for k, base in enumerate(sorted(hot)):
         slot = F.when(F.col("base") == base, slots + k * split + part).otherwise(slot)
     return slot.cast("int")
@@ -89,9 +109,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS,
     spark = docs.sparkSession
     rows = stored(records(docs, slots), "records")
     totals = F.sum("size").cast("long").alias("bytes"), F.count(F.lit(1)).alias("rows")
-    base = {r["base"]: r["bytes"] for r in rows.groupBy("base").agg(*totals).collect()}
+    counted = rows.groupBy("base").agg(*totals).collect()
+    base = {r["base"]: r["bytes"] for r in counted}
     limit = max(1, sum(base.values()) / (2 * shards))
     hot = [b for b, size in base.items() if size > limit]
+    # splitting a hot slot adds slots and so lowers the mean that makes a slot crowded
+    least = 4 * sum(r["rows"] for r in counted) / max(1, len(base) + len(hot) * split)
+    rows = with_spread(rows, sorted({*hot, *(r["base"] for r in counted if r["rows"] > least)}), slots)
     placed = rows.withColumn("virtual_slot", slot_of(hot, slots, split))
     stats = {r["virtual_slot"]: (r["bytes"], r["rows"])
              for r in placed.groupBy("virtual_slot").agg(*totals).collect()}
@@ -109,7 +133,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS,
     maps = stored(local_table(spark, versions, MAP_SCHEMA), "slot-map")
     many = 4 * sum(v[1] for v in stats.values()) / max(1, len(stats))
     crowded = [s for s, v in stats.items() if v[1] > many]
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("piece")), F.lit(PIECES)).cast("int")
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("piece"), F.col("_spread")), F.lit(PIECES)).cast("int")
     placed = placed.withColumn("_piece", F.when(F.col("virtual_slot").isin(crowded), part).otherwise(0)
                                if crowded else F.lit(0))
     earlier = Window.partitionBy("slot").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -153,6 +153,21 @@ def test_sharding(spark):
     assert sharding.shard_documents(documents(spark, rows).limit(0))[0].count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_sharding_spreads_copies_that_share_a_doc_id(spark, doc_id):
+    rnd = random.Random(1)
+    rows = [(100 + i, f"{i} " + "x" * rnd.randint(0, 400), None, None) for i in range(1200)]
+    rows += [(doc_id, "hot" * 70, None, None)] * 1000
+    got = sharding.shard_documents(documents(spark, rows))[0].toPandas()
+    assert len(got) == len(rows)
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 8 and load.max() < 1.05 * load.min()
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    assert got[got.doc_id >= 100].doc_id.nunique() == 1200
+    assert got[got["size"] == 211].virtual_slot.nunique() > 100
+
+
 def test_growing_moves_slots_into_the_new_shard_only():
     sizes = {s: 100 + s % 37 for s in range(4096)}
     before = sharding.rebalance({}, sizes, 8)
