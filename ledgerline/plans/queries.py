@@ -64,6 +64,29 @@ def q_worklist_filtered(t: Tables) -> DataFrame:
     return worklist.uninvoiced_worklist(t, SAMPLE_FILTERS)
 
 
+# The other filters (FIL2): lists of parties and brands, and numbers.
+PARTY_FILTERS = {
+    "vendors": ["S00000", "S00001", "S00002"],
+    "entities": ["B1000000", "B1000002", "B1000004"],
+    "brands": ["Brand#2", "Brand#13", "Brand#19", "Brand#25"],
+    "created_date_to": "2000-06-30",
+}
+PO_NUMBERS = [f"PO{n:08d}" for n in range(1, 1001)]
+
+
+@query("uninvoiced_worklist_by_party")
+def q_worklist_by_party(t: Tables) -> DataFrame:
+    """FIL2: the worklist of some vendors, entities and brands up to a creation date."""
+    return worklist.uninvoiced_worklist(t, PARTY_FILTERS)
+
+
+@query("uninvoiced_worklist_by_number")
+def q_worklist_by_number(t: Tables) -> DataFrame:
+    """FIL2: the worklist of a list of PO numbers and a table of arrival note numbers."""
+    notes = t.arrivals.where(F.col("id") % 3 == 0).select("arrival_note_number")
+    return worklist.uninvoiced_worklist(t, {"an_numbers": notes, "po_numbers": PO_NUMBERS})
+
+
 @query("filter_options")
 def q_filter_options(t: Tables) -> DataFrame:
     """SET1: distinct facet values of the worklist as (facet, code, label)."""

@@ -5,9 +5,10 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import selections
+from ledgerline.operators import selections, worklist
 from ledgerline.operators.dedup import first_per_key
 from ledgerline.operators.sequence import row_numbers
+from ledgerline.plans import queries
 
 
 def test_row_numbers_match_window(spark):
@@ -37,6 +38,14 @@ def test_first_per_key_picks_latest_and_keeps_nulls_last(spark):
     assert got == {"a": (3, None), "b": (1, 6.0)}
 
 
+def test_queries_reach_every_worklist_filter(spark):
+    used = {*queries.SAMPLE_FILTERS, *queries.PARTY_FILTERS, "an_numbers", "po_numbers"}
+    assert used == {*worklist.LIST_FILTERS, *worklist.RANGE_FILTERS}
+    lines = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, arrival_note_number string")
+    notes = spark.createDataFrame([("a",), ("a",), (None,)], "note string")
+    assert [r["id"] for r in worklist.apply_filters(lines, {"an_numbers": notes}).collect()] == [1]
+
+
 def test_requested_selection_without_rows_fails(spark):
     sel = spark.createDataFrame(
         [(1, 1, "v", "External", "e"), (2, 2, "v", "External", "e"), (2, 3, "w", "External", "e")],
