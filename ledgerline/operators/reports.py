@@ -244,3 +244,12 @@ def max_invoice_id(t: Tables) -> DataFrame:
     """MAX(id) over all invoices including deleted ones (0 when none)."""
     return t.purchase_invoices.agg(
         F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("max_id"))
+
+
+def export_csv(report: DataFrame, path: str) -> None:
+    """Writes a report as CSV files with a header each, quotes doubled (SNK5); fails if ``path`` exists.
+
+    Files are in the order of the report's partitions. NULL is an empty field, an empty text is ``""``.
+    """
+    report.write.option("header", True).option("escape", '"').option("emptyValue", '""') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

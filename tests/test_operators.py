@@ -1,11 +1,12 @@
 """Operator properties on small frames."""
 
+import csv
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import selections, worklist
+from ledgerline.operators import reports, selections, worklist
 from ledgerline.operators.dedup import first_per_key
 from ledgerline.operators.sequence import row_numbers
 from ledgerline.plans import queries
@@ -55,3 +56,21 @@ def test_requested_selection_without_rows_fails(spark):
            selections.selection_check(sel, requests).collect()}
     assert got[1] == (True, "") and not got[2][0] and got[9] == (False, "No items selected") and len(got) == 3
     assert selections.selection_check(sel).count() == 2
+
+
+def test_exported_csv_reads_back(spark, tmp_path):
+    rows = [(1, 'say "hi", you', "1.10"), (2, "two\nlines\\", "0.00"), (3, None, None), (4, "", "5.00"), (5, " é ", "-7.25"),
+            (6, '\\"', "1.00")]
+    df = spark.createDataFrame(rows, "id int, note string, amount string").withColumn(
+        "amount", F.col("amount").cast("decimal(15,2)")).repartition(3)
+    reports.export_csv(df, str(tmp_path / "report"))
+    files = sorted((tmp_path / "report").glob("*.csv"))
+    assert files and all(f.read_text().startswith("id,note,amount\n") for f in files)
+    got = [r for f in files for r in csv.reader(f.open(newline=""))]
+    assert sorted(r for r in got if r[0] != "id") == [[str(i), n or "", a or ""] for i, n, a in rows]
+    text = "".join(f.read_text() for f in files)
+    assert '4,"",5.00\n' in text and "3,,\n" in text
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True) \
+        .option("nullValue", "none").schema(df.schema).csv(str(tmp_path / "report"))
+    assert sorted((r["id"], r["note"] or "", r["amount"]) for r in back.where("id != 3").collect()) == \
+        [tuple(r) for r in df.where("id != 3").orderBy("id").collect()]
