@@ -82,5 +82,45 @@ select d.doc_id, len(d.ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as
 from d left join kept using (doc_id)
 """
 
+# crc32 from its polynomial: one table step a byte; letters of U+00C0-U+00FF are two bytes in UTF-8
+_CRC_BYTE = "xor(c >> 8, t[(xor(c, {0}) & 255) + 1])"
+OP13 = f"""
+with recursive steps as (
+  select i, list_reduce(list_prepend(i, range(8)),
+                        lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+  from range(256) r(i)),
+tab as (select list(v order by i) as t from steps),
+runs as (select doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[a-zÀ-ÿ]+')) as run from documents),
+pairs as (select coalesce(doc_id::varchar, '') || ':' || run as named, run, count(*) as c from runs group by all),
+hashed as (
+  select run, c, xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(string_split(named, ''), lambda x: unicode(x)::bigint)),
+           lambda c, x: case when x < 128 then {_CRC_BYTE.format('x')}
+             else list_reduce([c, 195, x - 64], lambda c, x: {_CRC_BYTE.format('x')}) end)) as h
+  from pairs, tab),
+words as (
+  select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint)
+              || substr(run, (h % length(run))::bigint + 2) else run end as word, sum(c)::bigint as n
+  from hashed group by 1 having sum(c) >= 3 and length(word) >= 5),
+cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+        from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as other, b.n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from cut a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from cut a join words b on a.rest = b.word),
+best as (select word, count(*)::bigint as n_near, max(n) as top, first(other order by n desc, other) as other
+         from near group by 1),
+forms as (select words.word, words.n, coalesce(n_near, 0) as n_near,
+                 case when top >= 2 * words.n then other end as form,
+                 case when top >= 2 * words.n then top end as form_n
+          from words left join best using (word)),
+chain as (select word, form as root, 1 as depth from forms where form is not null
+          union all
+          select c.word, f.form, c.depth + 1 from chain c join forms f on f.word = c.root
+          where f.form is not null),
+ends as (select word, arg_max(root, depth) as root from chain group by 1)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from forms left join ends using (word)
+"""
+
 ORACLE = {"op2_warc": OP2, "op6_decontamination": OP6, "op7_exact_dedup": OP7, "op8_mixing": OP8,
-          "op10_substring_dedup": OP10}
+          "op10_substring_dedup": OP10, "op13_spelling_variants": OP13}

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (decontamination, exact_dedup, langid, mixing, quality, sharding, simhash,
-                            suffix_automaton, suffix_index, warc)
+from ledgerline.llm import (decontamination, exact_dedup, langid, mixing, pii, quality, sharding, simhash,
+                            spelling, suffix_automaton, suffix_index, warc, whitening)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,26 @@ def op10_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_pii(spark, sf_dir):
+    """Counts and digest of the plain (base) spans; ``spans`` adds those of the disguised ones."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: ~s.added)
+    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    line = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"),
+                        line("spans").alias("spans"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_warc, op3_suffix_array_dedup, op4_quality, op5_sharding, op6_decontamination,
-    op7_exact_dedup, op8_mixing, op9_simhash, op10_substring_dedup)}
+    op7_exact_dedup, op8_mixing, op9_simhash, op10_substring_dedup,
+    op11_pii, op12_whitening, op13_spelling_variants)}
