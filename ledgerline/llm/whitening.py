@@ -256,7 +256,7 @@ def twisted(diagonal: np.ndarray, above: np.ndarray, value: float):
     """(unit vector, correction): B'B - value I in twisted form, solved at its smallest pivot."""
     n = len(diagonal)
     d, b2, ab = diagonal * diagonal, above * above, diagonal[:-1] * above
-    floor = EPS * EPS * max(value, float(d.max(initial=0.0)), TINY)
+    floor = max(EPS * EPS * max(value, float(d.max(initial=0.0))), TINY)
     solid = lambda x: x if abs(x) > floor else math.copysign(floor, x)
     s, down, p, up = np.empty(n), np.empty(n), np.empty(n), np.empty(n)
     s[0] = -value
@@ -310,26 +310,36 @@ def directions(diagonal: np.ndarray, above: np.ndarray, count: int, w: np.ndarra
 
 def inverse_iteration(diagonal, above, value: float, near: list) -> np.ndarray:
     """A direction for ``value`` at right angles to those found in its cluster."""
+    n = len(diagonal)
     b = np.diag(diagonal) + np.diag(above, 1)
-    shifted = b.T @ b - (value * (1 + 8 * EPS) + TINY) * np.eye(len(diagonal))
-    z = np.cos(np.arange(1, len(diagonal) + 1) * 1.7)
-    for _ in range(4):
-        for _ in range(2):
-            for y in near:
-                z = z - float(y @ z) * y
-        z = solved(shifted, z)
-    for _ in range(2):
-        for y in near:
-            z = z - float(y @ z) * y
-    return z
-
-
-def solved(m: np.ndarray, z: np.ndarray) -> np.ndarray:
-    try:
-        out = np.linalg.solve(m, z / math.sqrt(float(z @ z)))
-    except np.linalg.LinAlgError:
-        return z
-    return out / math.sqrt(float(out @ out)) if np.isfinite(out).all() else z
+    t = b.T @ b
+    top = float(np.abs(t).max(initial=0.0)) or 1.0
+    known = np.array(near)
+    outside = lambda z: z - known.T @ (known @ z)
+    best, least = None, math.inf
+    # a start with a part in all directions; else the axes, least covered first
+    axes = np.eye(n)[np.argsort((known ** 2).sum(axis=0), kind="stable")]
+    for start in (np.cos(np.arange(1, n + 1) * 1.7), *axes):
+        z = outside(outside(start / math.sqrt(float(start @ start))))
+        for _ in range(4):
+            size = float(z @ z)
+            if not EPS * EPS < size < math.inf:
+                break
+            z = z / math.sqrt(size)
+            error = float(np.abs(t @ z - value * z).max())
+            if error < least:
+                best, least = z, error
+            try:
+                moved = np.linalg.solve(t - (value + EPS * top) * np.eye(n), z)
+            except np.linalg.LinAlgError:
+                break
+            size = math.sqrt(float(moved @ moved))
+            if not 0.0 < size < math.inf:
+                break
+            z = outside(outside(moved / size))
+        if least <= 64 * EPS * top:
+            break
+    return best
 
 
 # --- over a table ---
