@@ -216,6 +216,9 @@ def near_words(words: list[str], queries: list[str], reverse: bool):
 
     ``reverse``: the right half is shared; pairs that share the left one too are left out.
     """
+    none = np.empty(0, np.int64)
+    if not words or not queries:  # a piece of a hot half may have searches only
+        return none, none
     turned = [w[::-1] for w in words] if reverse else words
     index = Index(turned)
     order = sorted(range(len(queries)), key=lambda i: len(queries[i]))
@@ -229,7 +232,7 @@ def near_words(words: list[str], queries: list[str], reverse: bool):
         q, w = search(index, some, halves)
         pairs.append((np.array(order[at:end])[q], w))
         at = end
-    q, w = (np.concatenate(c) for c in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
+    q, w = (np.concatenate(c) for c in zip(*pairs))
     if reverse:
         left = [s[:len(s) // 2] for s in queries]
         keep = np.fromiter((not words[b].startswith(left[a]) for a, b in zip(q.tolist(), w.tolist())), bool, len(q))
