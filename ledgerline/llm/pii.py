@@ -11,9 +11,10 @@ rewrite is mapped to the code points it came from.
 
 Plain (base) spans are found in the source itself and always stay. An added span
 is dropped if it only crosses a base span of its kind or lies in one; it may
-enlarge one, which takes two rewrites for numbers, so that a word beside a
-number isn't drawn into it. Bare ``at`` needs a disguised dot, or a local part
-with a digit or punctuation, since plain prose says "at" too.
+enlarge one, which takes two rewritten words for numbers, so that a word beside a
+number isn't drawn into it. Bare ``at`` needs a well-known top domain and a
+disguised dot, or a local part with a digit or punctuation, since plain prose
+says "at" too.
 
 Every scan is linear in the text, and rewrites are kept as a sparse list, so
 a very long text takes a few times its own size.
@@ -200,6 +201,10 @@ DIGIT_NAMES = [
     "null eins zwei drei vier fünf sechs sieben acht neun",
     "zéro un deux trois quatre cinq six sept huit neuf",
     "cero uno dos tres cuatro cinco seis siete ocho nueve"]
+# Top domains that a bare "at" may lead to (fixed values); those that are common words are left out.
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name dev app cloud tech online site shop store xyz io ai eu de fr es uk us ca "
+    "mx ar br cl pe ch be nl lu pt dk se fi pl cz sk hu ro bg gr ie au nz jp cn kr tw hk sg ru ua tr il za".split())
 DIGITS = {name: str(i) for line in DIGIT_NAMES for i, name in enumerate(line.split())}
 _DIGIT = "(?:" + "|".join(sorted(DIGITS, key=lambda n: (-len(n), n))) + r")(?!\w)"
 _GAP = r"(?:[ \t-]+|, ?)"
@@ -258,8 +263,7 @@ def email_changes(low: str, dots: bool) -> list[tuple[int, int, str]]:
             continue
         labels = [d.span() for d in DOT.finditer(low, *right.span()) if d[0] != "."]
         if bare:
-            last = low[last_label(low, *right.span()):right.end()]
-            if not (last.isalpha() and 2 <= len(last) <= 24):
+            if low[last_label(low, *right.span()):right.end()] not in TOP_DOMAINS:
                 continue
         elif sign == "@" and end - start == 1 and not labels:
             continue
@@ -332,12 +336,12 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     out = []
     for kind, start, end in plain_spans(clear):
         middle = words.source(start, end)
-        n = words.touched(start, end) + folds.touched(*middle)
-        if n:
+        letters, said_ = folds.touched(*middle), words.touched(start, end)
+        if letters or said_:
             first, last = folds.source(*middle)
             met = [b for b in base if b[0] == kind and b[1] < last and first < b[2]]
             if all(first <= b[1] and b[2] <= last and (first, last) != b[1:] for b in met) and (
-                    not met or kind == 0 or n > 1):
+                    not met or kind == 0 or letters or said_ > 1):
                 out.append((kind, first, last))
     return out
 

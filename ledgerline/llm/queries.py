@@ -82,7 +82,8 @@ def op11_pii(spark, sf_dir):
     """Counts and digest of the plain (base) spans; ``spans`` adds those of the disguised ones."""
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: ~s.added)
-    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of = lambda kind: F.size(F.filter(base, lambda s: s.kind == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in pii.KINDS]
     line = lambda spans: F.array_join(F.transform(
         spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"),
