@@ -2,14 +2,14 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` puts every row of group
 ``g`` into one task; with no partition it puts the whole table into one task.
-Here the rows are range-partitioned and sorted by (g, k) instead, so a large
-group spans many tasks. Each row's position is its index inside its task plus
-the count of rows of the same group in earlier tasks; those per-task counts
+Here the keys are range-partitioned and sorted by (g, k) instead, so a large
+group spans many tasks. Each key's position is its index inside its task plus
+the count of keys of the same group in earlier tasks; those per-task counts
 form a small table (groups x tasks at most).
 
-The sorted, indexed rows are checkpointed (to the shared checkpoint folder)
-before they are counted and numbered, so both uses see the same rows even if
-a task is re-run after an executor loss.
+Only the keys are sorted and written (to the shared folder of the run, so both
+uses see the same order even if a task is re-run after an executor loss); the
+numbers are joined back to the rows, whose other columns are never written.
 """
 
 from __future__ import annotations
@@ -17,40 +17,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.session import checkpoint_root
+from ledgerline.session import written
 
 _G = "_seq_group"
 
 
-def row_numbers(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                out: str = "row_id", checkpoint: bool = True) -> DataFrame:
-    """Adds ``out`` = 1-based position in ``order_cols`` order within ``group_cols``.
+def key_numbers(keys: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "row_id") -> DataFrame:
+    """``keys`` with ``out``, the position in ``order_cols`` order within ``group_cols``.
 
-    ``order_cols`` must make the order unique inside a group (add a key column).
+    Every column of ``keys`` is written, so it should hold the keys only.
     """
-    keys = list(group_cols) if group_cols else []
-    if not keys:
-        df = df.withColumn(_G, F.lit(0))
-        keys = [_G]
-    ordered = (df.repartitionByRange(*keys, *order_cols)
-               .sortWithinPartitions(*keys, *order_cols)
-               .withColumn("_seq_task", F.spark_partition_id())
-               .withColumn("_seq_mono", F.monotonically_increasing_id()))
-    if checkpoint:
-        checkpoint_root(ordered.sparkSession)
-        ordered = ordered.checkpoint(eager=True)
-    per_task = (ordered.groupBy(*keys, "_seq_task")
+    groups = list(group_cols)
+    if not groups:
+        keys, groups = keys.withColumn(_G, F.lit(0)), [_G]
+    ordered = written(
+        keys.repartitionByRange(*groups, *order_cols).sortWithinPartitions(*groups, *order_cols)
+        .withColumn("_seq_task", F.spark_partition_id()).withColumn("_seq_mono", F.monotonically_increasing_id()),
+        "sequence")
+    per_task = (ordered.groupBy(*groups, "_seq_task")
                 .agg(F.count(F.lit(1)).alias("_seq_n"), F.min("_seq_mono").alias("_seq_first")))
-    # rows of the same group in earlier tasks (small table: one row per group x task)
-    earlier = Window.partitionBy(*keys).orderBy("_seq_task") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    per_task = per_task.withColumn("_seq_offset",
-                                   F.coalesce(F.sum("_seq_n").over(earlier), F.lit(0)))
-    if keys == [_G]:  # one row per task: bounded by the number of tasks
+    # keys of the same group in earlier tasks (small table: one row per group x task)
+    earlier = Window.partitionBy(*groups).orderBy("_seq_task").rowsBetween(Window.unboundedPreceding, -1)
+    per_task = per_task.withColumn("_seq_offset", F.coalesce(F.sum("_seq_n").over(earlier), F.lit(0)))
+    if groups == [_G]:  # one row per task: bounded by the number of tasks
         per_task = F.broadcast(per_task)
-    numbered = (ordered.join(per_task.select(*keys, "_seq_task", "_seq_offset", "_seq_first"),
-                             [*keys, "_seq_task"])
-                .withColumn(out, (F.col("_seq_offset") + F.col("_seq_mono")
-                                  - F.col("_seq_first") + 1).cast("long")))
-    drop = ["_seq_task", "_seq_mono", "_seq_offset", "_seq_first"] + ([_G] if _G in keys else [])
-    return numbered.drop(*drop)
+    per_task = per_task.select(*[F.col(g).alias(f"_seq_{i}") for i, g in enumerate(groups)],
+                               F.col("_seq_task").alias("_seq_own"), "_seq_offset", "_seq_first")
+    same = F.col("_seq_task") == F.col("_seq_own")
+    for i, g in enumerate(groups):  # NULL is a group of its own
+        same = same & F.col(g).eqNullSafe(F.col(f"_seq_{i}"))
+    numbered = ordered.join(per_task, same).withColumn(
+        out, (F.col("_seq_offset") + F.col("_seq_mono") - F.col("_seq_first") + 1).cast("long"))
+    return numbered.select(*[c for c in keys.columns if c != _G], out)
+
+
+def row_numbers(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "row_id") -> DataFrame:
+    """Adds ``out`` = 1-based position in ``order_cols`` order within ``group_cols``.
+
+    Groups and order together must name a row (add a key column).
+    """
+    names = list(dict.fromkeys([*group_cols, *order_cols]))
+    numbers = key_numbers(df.select(*names), group_cols, order_cols, out)
+    if set(df.columns) == set(names):
+        return numbers.select(*df.columns, out)
+    numbers = numbers.select(*[F.col(c).alias(f"_seq_{i}") for i, c in enumerate(names)], out)
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"_seq_{i}"))
+    return df.join(numbers, same).select(*df.columns, out)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC dates, adaptive execution (runtime
 # broadcast conversion, partition coalescing, skew-join splitting).
@@ -58,3 +59,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, in the shared checkpoint folder."""
+    return f"{checkpoint_root(spark)}/ledgerline-run-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet to the run's folder and reads it back: for a result that
+    several parts of a plan read, or that a lost executor shouldn't compute again."""
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_run(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; call it when its results have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
