@@ -11,7 +11,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators.sequence import row_numbers
+from ledgerline.operators.sequence import key_numbers
 from ledgerline.session import checkpoint_root
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -90,5 +90,5 @@ def keyed(docs: DataFrame) -> DataFrame:
     repeated = rows.groupBy("_d").count().where("count > 1").limit(1).count()
     if not repeated:
         return rows.withColumn("_t", F.lit(0))
-    numbered = row_numbers(rows, ["_d"], ["text"], out="_t")
+    numbered = key_numbers(rows, ["_d"], ["text"], out="_t")  # whole rows: equal ones get numbers of their own
     return numbered.select("doc_id", "text", "_d", (F.col("_t") - 1).cast("int").alias("_t"))
