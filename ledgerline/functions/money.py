@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(15,2)"
-#: Amounts converted to another currency, which may have many more units.
+#: Sums, products and amounts converted to another currency, which may have many more units.
 CONVERTED = "decimal(24,2)"
 
 
@@ -52,14 +52,19 @@ def round_money(c) -> Column:
     return F.round(col_(c), 2).cast(MONEY)
 
 
+def round_amount(c) -> Column:
+    """Round half-up to cents in the wide type: for sums and for quantity x cost."""
+    return F.round(col_(c), 2).cast(CONVERTED)
+
+
 def estimated_value(qty, unit_cost) -> Column:
     """ROUND(qty x unit cost, 2)."""
-    return round_money(col_(qty) * col_(unit_cost))
+    return round_amount(col_(qty) * col_(unit_cost))
 
 
 def vat_amount(qty, unit_cost, vat_percent) -> Column:
     """ROUND(qty x cost x COALESCE(vat, 0) / 100, 2) from the unrounded product."""
-    return round_money(col_(qty) * col_(unit_cost) * F.coalesce(col_(vat_percent), F.lit(0))
+    return round_amount(col_(qty) * col_(unit_cost) * F.coalesce(col_(vat_percent), F.lit(0))
                        * F.lit(0.01).cast("decimal(3,2)"))
 
 

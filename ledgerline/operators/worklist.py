@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.money import cost_amount, cost_currency, estimated_value, vat_amount
-from ledgerline.plans.views import QTY, can_tracking_view
+from ledgerline.operators.joins import active, dim
+from ledgerline.plans.views import QTY, active_arrival_lines, can_tracking_view, pending_keys
+from ledgerline.session import written
 from ledgerline.sources.tables import Tables
 
 # Filter keys and the view column each one restricts.
@@ -70,6 +72,11 @@ def _is_frame(v) -> bool:
     return isinstance(v, DataFrame)
 
 
+def _any_filter(filters: dict | None) -> bool:
+    filters = filters or {}
+    return any(_is_frame(v) or bool(v) for v in (filters.get(k) for k in (*LIST_FILTERS, *RANGE_FILTERS)))
+
+
 def apply_filters(df: DataFrame, filters: dict | None) -> DataFrame:
     pred = filter_predicate(filters)
     if pred is not None:
@@ -85,8 +92,9 @@ def apply_filters(df: DataFrame, filters: dict | None) -> DataFrame:
 def uninvoiced_worklist(t: Tables, filters: dict | None = None, as_of=None,
                         ordered: bool = True) -> DataFrame:
     """Arrival lines with uninvoiced quantity, with value, VAT, PO-line and legacy columns."""
-    can = apply_filters(can_tracking_view(t, as_of).where(F.col("uninvoiced_quantity") > 0),
-                        filters)
+    # every filter is on a column of the candidate lines: it applies before the aggregates
+    narrow = (lambda lines: apply_filters(lines, filters)) if _any_filter(filters) else None
+    can = can_tracking_view(t, as_of, narrow).where(F.col("uninvoiced_quantity") > 0)
     unit = cost_amount("buying_unit_cost")
     legacy_qty = F.coalesce(F.col("_legacy_invoice_qty"), F.lit(0))
     pending = F.col("po_line_pending_invoiced_qty")
@@ -116,36 +124,92 @@ def uninvoiced_worklist(t: Tables, filters: dict | None = None, as_of=None,
     return out
 
 
-# Facet name -> (code column, label column) of the filter lists.
-FACETS = [
+# Facet name -> (code column, label column) of the filter lists, by the table that has them.
+PO_FACETS = [
     ("creators", "creator", "creator"),
     ("vendor_types", "vendor_type", "vendor_type"),
     ("vendors", "vendor_code", "vendor"),
     ("entities", "consignee_code", "consignee"),
-    ("brands", "brand", "brand"),
-    ("an_numbers", "arrival_note_number", "arrival_note_number"),
     ("po_numbers", "po_number", "po_number"),
+]
+PRODUCT_FACETS = [("brands", "brand", "brand")]
+LINE_FACETS = [
+    ("an_numbers", "arrival_note_number", "arrival_note_number"),
     ("po_line_statuses", "po_line_status", "po_line_status"),
 ]
 
 
+def _entries(rows: DataFrame, facets) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(c).cast("string").alias("code"),
+                               F.col(lbl).cast("string").alias("label")) for f, c, lbl in facets])
+    return rows.select(F.explode(pairs).alias("e")).select("e.*").where(F.col("code").isNotNull())
+
+
 def filter_options(t: Tables, as_of=None) -> DataFrame:
     """Distinct filter values of the worklist as (facet, code, label) rows, sorted in each facet.
 
-    One pass: each row is exploded into its eight facet entries and the
-    entries are de-duplicated (partial aggregation removes repeats before the
-    shuffle, so a facet with few values never hot-spots one task).
+    The worklist's rows are reduced to their keys and written once. Facets of the
+    purchase order and of the product come from those tables, semi-joined with the
+    keys, so their values aren't copied to every line; only the note number and the
+    status are read from the lines. Entries are de-duplicated before the shuffle, so
+    a facet with few values never hot-spots one task.
     """
-    can = can_tracking_view(t, as_of).where(F.col("uninvoiced_quantity") > 0)
-    entries = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(c).cast("string").alias("code"),
-                                 F.col(lbl).cast("string").alias("label"))
-                        for f, c, lbl in FACETS])
-    return (can.select(F.explode(entries).alias("e")).select("e.*")
-            .where(F.col("code").isNotNull())
-            .distinct().orderBy("facet", "label", "code"))
+    keys = written(pending_keys(t).groupBy("arrival_note_number", "purchase_order_id", "product_id",
+                                           "po_line_status").count(), "pending-keys")
+    companies = t.companies
+    seller = dim(companies.select(F.col("id").alias("seller_company_id"), F.col("english_name").alias("vendor"),
+                                  F.col("company_code").alias("vendor_code"),
+                                  F.col("company_type").alias("vendor_type")))
+    buyer = dim(companies.select(F.col("id").alias("buyer_company_id"), F.col("english_name").alias("consignee"),
+                                 F.col("company_code").alias("consignee_code")))
+    orders = (active(t.purchase_orders).select(F.col("id").alias("purchase_order_id"), "po_number", "creator",
+                                               "seller_company_id", "buyer_company_id")
+              .join(keys.select("purchase_order_id").distinct(), "purchase_order_id", "left_semi")
+              .join(seller, "seller_company_id").join(buyer, "buyer_company_id"))
+    products = t.products.select(F.col("id").alias("product_id"), "brand").join(
+        keys.select("product_id").distinct(), "product_id", "left_semi")
+    return (_entries(orders, PO_FACETS).unionByName(_entries(products, PRODUCT_FACETS))
+            .unionByName(_entries(keys, LINE_FACETS)).distinct().orderBy("facet", "label", "code"))
 
 
 def pending_count(t: Tables, as_of=None) -> DataFrame:
     """COUNT(DISTINCT can_line_id) of arrival lines still uninvoiced."""
-    can = can_tracking_view(t, as_of).where(F.col("uninvoiced_quantity") > 0)
-    return can.agg(F.count_distinct("can_line_id").alias("pending_count"))
+    return pending_keys(t).agg(F.count_distinct("can_line_id").alias("pending_count"))
+
+
+#: log2 of the registers of a sketch: a relative error of about 0.83 / sqrt(2^12) = 1.3 %.
+SKETCH_BITS = 12
+
+
+def pending_sketches(t: Tables) -> DataFrame:
+    """(arrival_month, sketch): an HLL sketch of the pending arrival lines of each month.
+
+    Sketches are a few kB each, can be stored, and merge (:func:`sketched_count`) without the
+    lines: a new month adds its sketch, and any range of months is counted from theirs.
+    """
+    month = F.date_format("arrival_date", "yyyy-MM").alias("arrival_month")
+    notes = active_arrival_lines(t).select("can_line_id", month)
+    return (pending_keys(t).select("can_line_id").join(notes, "can_line_id")
+            .groupBy("arrival_month").agg(F.hll_sketch_agg("can_line_id", SKETCH_BITS).alias("sketch")))
+
+
+def sketched_count(sketches: DataFrame) -> DataFrame:
+    """(pending_estimate) of the union of stored sketches."""
+    return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("pending_estimate"))
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    """The relative standard error of a merged sketch."""
+    return 1.04 / (1 << bits) ** 0.5
+
+
+def cost_quality(rows: DataFrame) -> DataFrame:
+    """(cost_text, n_lines): how many rows have a cost whose first token is a number (``number``),
+    isn't one (``bad``: read as NULL, where the source's cast reads 0), or no cost text (``none``)."""
+    kind = (F.when(F.col("buying_unit_cost").isNull(), "none")
+            .when(cost_amount("buying_unit_cost").isNull(), "bad").otherwise("number"))
+    kinds = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("number", "bad", "none"))))
+                                              .alias("cost_text"))
+    n = rows.groupBy(kind.alias("cost_text")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(F.broadcast(n), "cost_text", "left").select(  # at most three rows
+        "cost_text", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"))

@@ -21,8 +21,9 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import MONEY, cost_text
+from ledgerline.functions.money import CONVERTED, MONEY, cost_text
 from ledgerline.operators.joins import active, dim
+from ledgerline.session import written
 from ledgerline.sources.tables import Tables
 
 DEFAULT_AS_OF = _dt.date(2001, 7, 31)
@@ -36,30 +37,57 @@ def _date(as_of) -> Column:
 
 def _pct(num: Column, den: Column) -> Column:
     """100 * num / den rounded to 2 places; NULL when den is 0 or NULL."""
-    return F.when(den != 0, F.round(num * 100 / den, 2)).cast("decimal(12,2)")
+    return F.when(den != 0, F.round(num * 100 / den, 2)).cast("decimal(24,2)")
 
 
-def active_invoice_details(t: Tables) -> DataFrame:
-    """Active invoice lines whose invoice header is active too."""
+def active_invoice_details(t: Tables, reduce=None) -> DataFrame:
+    """Active invoice lines whose invoice header is active too (of those that ``reduce`` leaves)."""
     headers = active(t.purchase_invoices).select(F.col("id").alias("purchase_invoice_id"))
-    return active(t.purchase_invoice_details).join(headers, "purchase_invoice_id", "left_semi")
+    details = active(t.purchase_invoice_details)
+    return (reduce(details) if reduce else details).join(headers, "purchase_invoice_id", "left_semi")
 
 
-def po_line_invoicing(t: Tables) -> DataFrame:
-    """Per PO line: all / legacy / new invoiced quantity and legacy invoice count.
+#: Stands for "no arrival line" (a legacy invoice line), or for no PO line, in the fact aggregate.
+NO_KEY = -(1 << 63)
+_SUM = "decimal(25,2)"
 
-    One aggregate instead of separate legacy and new passes (a legacy line is
-    one with no arrival line).
+
+def invoiced_facts(t: Tables, reduce=None) -> DataFrame:
+    """The fact aggregate: invoiced quantity per (PO line, arrival line, invoice).
+
+    Rolled up by PO line and by arrival line. Both roll-ups read one exchange below
+    this aggregate, so the invoice lines are scanned, filtered and shuffled once
+    (physically: one scan, one ReusedExchange). For that the keys are never NULL:
+    an inferred IS NOT NULL filter in one of the two would tell them apart.
     """
-    d = active_invoice_details(t)
-    legacy = F.col("arrival_detail_id").isNull()
-    q = F.col("purchased_invoice_quantity")
-    return (d.groupBy("product_purchase_order_id")
-            .agg(F.sum(q).alias("po_line_invoiced_qty"),
-                 F.sum(F.when(legacy, q)).alias("legacy_invoice_qty"),
-                 F.count_distinct(F.when(legacy, F.col("purchase_invoice_id")))
-                 .alias("legacy_invoice_count"),
-                 F.sum(F.when(~legacy, q)).alias("new_invoice_qty")))
+    return (active_invoice_details(t, reduce)
+            .groupBy(F.coalesce("product_purchase_order_id", F.lit(NO_KEY)).alias("po_line_key"),
+                     F.coalesce("arrival_detail_id", F.lit(NO_KEY)).alias("arrival_key"),
+                     "purchase_invoice_id")
+            .agg(F.sum("purchased_invoice_quantity").cast(_SUM).alias("invoiced_qty")))
+
+
+def po_line_invoicing(t: Tables, facts: DataFrame | None = None) -> DataFrame:
+    """Per PO line: all / legacy / new invoiced quantity and legacy invoice count
+    (one more row, of ``NO_KEY``, joins nothing).
+
+    A legacy line is one with no arrival line. Rows of the fact aggregate are
+    unique per invoice, so the legacy invoices are counted without a distinct.
+    """
+    legacy = F.col("arrival_key") == NO_KEY
+    q = F.col("invoiced_qty")
+    return ((facts if facts is not None else invoiced_facts(t))
+            .groupBy(F.col("po_line_key").alias("product_purchase_order_id"))
+            .agg(F.sum(q).cast(_SUM).alias("po_line_invoiced_qty"),
+                 F.sum(F.when(legacy, q)).cast(_SUM).alias("legacy_invoice_qty"),
+                 F.count(F.when(legacy, F.col("purchase_invoice_id"))).alias("legacy_invoice_count"),
+                 F.sum(F.when(~legacy, q)).cast(_SUM).alias("new_invoice_qty")))
+
+
+def arrival_line_invoicing(facts: DataFrame) -> DataFrame:
+    """Per arrival line: invoiced quantity (one more row, of ``NO_KEY``, joins nothing)."""
+    return facts.groupBy(F.col("arrival_key").alias("can_line_id")).agg(
+        F.sum("invoiced_qty").cast(_SUM).alias("total_invoiced_quantity"))
 
 
 def active_arrival_lines(t: Tables) -> DataFrame:
@@ -71,15 +99,12 @@ def active_arrival_lines(t: Tables) -> DataFrame:
     return ad.join(ar, "arrival_id")
 
 
-def can_tracking_view(t: Tables, as_of=None) -> DataFrame:
-    """Arrival-line view (plus ``_ppo_*`` columns the worklist reuses)."""
-    lines = active_arrival_lines(t)
-    det = active_invoice_details(t)
-    by_line = (det.where(F.col("arrival_detail_id").isNotNull())
-               .groupBy(F.col("arrival_detail_id").alias("can_line_id"))
-               .agg(F.sum("purchased_invoice_quantity").alias("total_invoiced_quantity")))
-    arrived = (lines.groupBy("product_purchase_order_id")
-               .agg(F.sum("arrival_quantity").alias("po_line_arrived_qty")))
+def described(t: Tables, lines: DataFrame) -> DataFrame:
+    """Arrival lines with their PO line, PO, product, companies, currency and term.
+
+    All columns that the worklist can be filtered by are here or in the lines,
+    under the names of the view, so filters can apply before any aggregate.
+    """
     ppo = t.product_purchase_orders.select(
         F.col("id").alias("product_purchase_order_id"), "purchase_order_id", "product_id",
         "purchase_quantity", "quantity", "purchase_unit_cost", "purchaseuom",
@@ -102,22 +127,86 @@ def can_tracking_view(t: Tables, as_of=None) -> DataFrame:
                                   F.col("code").alias("currency_code")))
     terms = dim(t.payment_terms.select(F.col("id").alias("payment_term_id"),
                                        F.col("name").alias("payment_term")))
-    po_inv = po_line_invoicing(t)
-
-    v = (lines.join(by_line, "can_line_id", "left")
-         # everything keyed by the PO line: one partitioning
-         .join(ppo, "product_purchase_order_id")
-         .join(po_inv, "product_purchase_order_id", "left")
-         .join(arrived, "product_purchase_order_id", "left")
-         .join(po, "purchase_order_id")
-         .join(products, "product_id")
-         .join(seller, "seller_company_id")
-         .join(buyer, "buyer_company_id")
-         .join(cur, "currency_id")
-         .join(terms, "payment_term_id", "left"))
+    return (lines.join(ppo, "product_purchase_order_id")
+            .join(po, "purchase_order_id")
+            .join(products, "product_id")
+            .join(seller, "seller_company_id")
+            .join(buyer, "buyer_company_id")
+            .join(cur, "currency_id")
+            .join(terms, "payment_term_id", "left"))
+
+
+def with_quantities(t: Tables, lines: DataFrame, restricted: bool = False) -> DataFrame:
+    """Lines with invoiced and arrived quantities of their arrival line and PO line.
+
+    ``restricted``: the lines are a part of the table, so invoice lines and
+    arrivals are reduced to theirs before they are aggregated. Arrival lines may
+    be invoiced under another PO line than their own, so an invoice line stays if
+    either of its keys is wanted.
+    """
+    arrivals, reduce = active_arrival_lines(t), None
+    if restricted:
+        po_lines = lines.select("product_purchase_order_id").distinct()
+        arrivals = arrivals.join(po_lines, "product_purchase_order_id", "left_semi")
+
+        def reduce(details: DataFrame) -> DataFrame:
+            own = lines.select(F.col("can_line_id").alias("arrival_detail_id"), F.lit(True).alias("_own"))
+            return (details.join(po_lines.withColumn("_line", F.lit(True)), "product_purchase_order_id", "left")
+                    .join(own, "arrival_detail_id", "left")
+                    .where(F.col("_line").isNotNull() | F.col("_own").isNotNull()).drop("_line", "_own"))
+
+    facts = invoiced_facts(t, reduce)
+    arrived = (arrivals.groupBy("product_purchase_order_id")
+               .agg(F.sum("arrival_quantity").alias("po_line_arrived_qty")))
+    return (lines.join(arrival_line_invoicing(facts), "can_line_id", "left")
+            # everything keyed by the PO line: one partitioning
+            .join(po_line_invoicing(t, facts), "product_purchase_order_id", "left")
+            .join(arrived, "product_purchase_order_id", "left"))
+
+
+def _uninvoiced() -> Column:
+    return F.greatest(F.lit(0), F.col("arrival_quantity") - F.coalesce(F.col("total_invoiced_quantity"), F.lit(0)))
+
+
+def _po_line_status(ordered: Column) -> Column:
+    arrived = F.coalesce(F.col("po_line_arrived_qty"), F.lit(0))
+    pending = ordered - F.coalesce(F.col("po_line_invoiced_qty"), F.lit(0))
+    return (F.when(pending <= 0, "Fully Invoiced").when(arrived >= ordered, "Fully Arrived")
+            .when(arrived > 0, "Partially Arrived").otherwise("Pending"))
+
+
+def pending_keys(t: Tables) -> DataFrame:
+    """The keys and status of the view's rows with uninvoiced quantity, without any of their descriptions:
+    (can_line_id, arrival_note_number, purchase_order_id, product_id, po_line_status)."""
+    exists = lambda df, key: df.select(F.col("id").alias(key))
+    ppo = t.product_purchase_orders.select(F.col("id").alias("product_purchase_order_id"), "purchase_order_id",
+                                           "product_id", "purchase_quantity")
+    po = (active(t.purchase_orders).select(F.col("id").alias("purchase_order_id"), "seller_company_id",
+                                           "buyer_company_id", "currency_id")
+          .join(dim(exists(t.companies, "seller_company_id")), "seller_company_id", "left_semi")
+          .join(dim(exists(t.companies, "buyer_company_id")), "buyer_company_id", "left_semi")
+          .join(dim(exists(t.currencies, "currency_id")), "currency_id", "left_semi"))
+    lines = with_quantities(t, active_arrival_lines(t)).where(_uninvoiced() > 0)
+    return (lines.join(ppo, "product_purchase_order_id")
+            .join(po, "purchase_order_id", "left_semi")
+            .join(exists(t.products, "product_id"), "product_id", "left_semi")
+            .select("can_line_id", "arrival_note_number", "purchase_order_id", "product_id",
+                    _po_line_status(F.col("purchase_quantity")).alias("po_line_status")))
+
+
+def can_tracking_view(t: Tables, as_of=None, reduce=None) -> DataFrame:
+    """Arrival-line view (plus ``_ppo_*`` columns the worklist reuses).
+
+    ``reduce`` (a function of the described lines) restricts them before the
+    quantities are aggregated; what it leaves is written once, since four joins read it.
+    """
+    if reduce is None:
+        v = described(t, with_quantities(t, active_arrival_lines(t)))
+    else:
+        v = with_quantities(t, written(reduce(described(t, active_arrival_lines(t))), "lines"), True)
 
     invoiced = F.coalesce(F.col("total_invoiced_quantity"), F.lit(0))
-    uninvoiced = F.greatest(F.lit(0), F.col("arrival_quantity") - invoiced)
+    uninvoiced = _uninvoiced()
     pq = F.col("purchase_quantity")
     po_invoiced = F.coalesce(F.col("po_line_invoiced_qty"), F.lit(0))
     arrived_q = F.coalesce(F.col("po_line_arrived_qty"), F.lit(0))
@@ -143,8 +232,7 @@ def can_tracking_view(t: Tables, as_of=None) -> DataFrame:
         std_cost.alias("standard_unit_cost"),
         landed.alias("landed_cost"),
         F.when(F.col("currency_code") == "USD", landed).alias("landed_cost_usd"),
-        F.when(pending <= 0, "Fully Invoiced").when(arrived_q >= pq, "Fully Arrived")
-        .when(arrived_q > 0, "Partially Arrived").otherwise("Pending").alias("po_line_status"),
+        _po_line_status(pq).alias("po_line_status"),
         F.when(arrived_q > pq, "Y").otherwise("N").alias("po_line_is_over_delivered"),
         F.when(pending < 0, "Y").otherwise("N").alias("po_line_is_over_invoiced"),
         _pct(arrived_q, pq).alias("po_line_arrival_completion_percent"),
@@ -160,17 +248,22 @@ def can_tracking_view(t: Tables, as_of=None) -> DataFrame:
     )
 
 
-def payment_totals(t: Tables) -> DataFrame:
-    p = active(t.purchase_invoice_payments)
+def _only(df: DataFrame, ids: DataFrame | None, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``ids`` (pi_id); all without ``ids``."""
+    return df if ids is None else df.join(ids.withColumnRenamed("pi_id", key), key, "left_semi")
+
+
+def payment_totals(t: Tables, ids: DataFrame | None = None) -> DataFrame:
+    p = _only(active(t.purchase_invoice_payments), ids, "purchase_invoice_id")
     return (p.groupBy(F.col("purchase_invoice_id").alias("pi_id"))
             .agg(F.sum("amount").alias("total_payment_made"),
                  F.count(F.lit(1)).alias("payment_count"),
                  F.max("payment_date").alias("last_payment_date")))
 
 
-def _header_columns(t: Tables, as_of) -> DataFrame:
-    """Active invoice headers with vendor, entity, currency, term and payment columns."""
-    pi = active(t.purchase_invoices).select(
+def _header_columns(t: Tables, as_of, ids: DataFrame | None = None) -> DataFrame:
+    """Active invoice headers (of ``ids``) with vendor, entity, currency, term and payment columns."""
+    pi = _only(active(t.purchase_invoices), ids, "id").select(
         F.col("id").alias("pi_id"), F.col("invoice_number").alias("inv_number"),
         F.col("commercial_invoice_no").alias("commercial_inv_number"),
         F.col("invoiced_date").alias("inv_date"), "due_date", "total_invoiced_amount",
@@ -187,7 +280,7 @@ def _header_columns(t: Tables, as_of) -> DataFrame:
                                   F.col("code").alias("invoiced_currency")))
     terms = dim(t.payment_terms.select(F.col("id").alias("payment_term_id"),
                                        F.col("name").alias("payment_term")))
-    h = (pi.join(payment_totals(t), "pi_id", "left")
+    h = (pi.join(payment_totals(t, ids), "pi_id", "left")
          .join(seller, "seller_id").join(buyer, "buyer_id").join(cur, "currency_id")
          .join(terms, "payment_term_id", "left"))
     total = F.col("total_invoiced_amount")
@@ -202,13 +295,13 @@ def _header_columns(t: Tables, as_of) -> DataFrame:
         F.col("total_invoiced_amount").cast(MONEY).alias("total_invoiced_amount"),
         "vendor", "vendor_code", "legal_entity", "legal_entity_code", "invoiced_currency",
         "payment_term", "created_by", "inv_type", "is_advance_payment", "email_to_accountant",
-        paid.cast(MONEY).alias("total_payment_made"),
+        paid.cast(CONVERTED).alias("total_payment_made"),
         F.coalesce(F.col("payment_count"), F.lit(0)).alias("payment_count"),
         "last_payment_date",
         F.when(total > 0, F.round(paid / total, 4)).otherwise(F.lit(0))
-        .cast("decimal(10,4)").alias("payment_ratio"),
+        .cast("decimal(24,4)").alias("payment_ratio"),
         status.alias("payment_status"),
-        (total - paid).cast(MONEY).alias("total_outstanding_amount"),
+        (total - paid).cast(CONVERTED).alias("total_outstanding_amount"),
         overdue.cast("int").alias("days_overdue"),
         F.when(status == "Fully Paid", "Paid").when(overdue == 0, "Current")
         .when(overdue <= 30, "1-30 Days").when(overdue <= 60, "31-60 Days")
@@ -249,7 +342,7 @@ def _line_columns(t: Tables) -> DataFrame:
     return lines.select(
         "pi_id", "pi_line_id", "po_number", "pt_code", "product_name", "vendor_product_code",
         "brand", F.col("invoiced_quantity").cast(QTY).alias("invoiced_quantity"), "buying_uom",
-        F.round(F.col("purchase_unit_cost") * F.col("exchange_rate"), 2).cast(MONEY)
+        F.round(F.col("purchase_unit_cost") * F.col("exchange_rate"), 2).cast(CONVERTED)
         .alias("inv_unit_price"),
         F.col("invoiced_amount").cast(MONEY).alias("invoiced_amount"), "vat_percent",
         "can_number", "arrival_date",
@@ -272,21 +365,47 @@ def invoice_line_view(t: Tables, as_of=None) -> DataFrame:
     return _line_columns(t).join(_header_columns(t, as_of), "pi_id")
 
 
-def invoice_header_view(t: Tables, as_of=None) -> DataFrame:
-    """The header columns of the line view, once per invoice.
+def _with_lines(t: Tables, ids: DataFrame | None = None) -> DataFrame:
+    """pi_id of the invoices (of ``ids``) that have a line in the line view, repeated.
 
-    Equal to ``SELECT DISTINCT <header columns>`` over the line view (header
-    columns depend on the invoice id only), computed without expanding to
-    line rows: headers semi-joined with the invoices that have a view line.
+    Keys only: whether a line is in the view depends on its joins, not on its amounts or arrivals.
     """
     products = t.products.select(F.col("id").alias("product_id"))
     ppo = t.product_purchase_orders.select(F.col("id").alias("product_purchase_order_id"), "product_id") \
         .join(products, "product_id", "left_semi")
     po = t.purchase_orders.select(F.col("id").alias("purchase_order_id"))
-    # keys only: whether a line is in the view depends on these joins, not on its amounts or arrivals
-    with_lines = (active_invoice_details(t)
-                  .select(F.col("purchase_invoice_id").alias("pi_id"), "purchase_order_id",
-                          "product_purchase_order_id")
-                  .join(ppo, "product_purchase_order_id", "left_semi")
-                  .join(po, "purchase_order_id", "left_semi").select("pi_id"))
-    return _header_columns(t, as_of).join(with_lines, "pi_id", "left_semi")
+    reduce = None if ids is None else lambda d: _only(d, ids, "purchase_invoice_id")
+    return (active_invoice_details(t, reduce)
+            .select(F.col("purchase_invoice_id").alias("pi_id"), "purchase_order_id",
+                    "product_purchase_order_id")
+            .join(ppo, "product_purchase_order_id", "left_semi")
+            .join(po, "purchase_order_id", "left_semi").select("pi_id"))
+
+
+def invoice_header_view(t: Tables, as_of=None, ids: DataFrame | None = None) -> DataFrame:
+    """The header columns of the line view, once per invoice.
+
+    Equal to ``SELECT DISTINCT <header columns>`` over the line view (header
+    columns depend on the invoice id only), computed without expanding to
+    line rows: headers semi-joined with the invoices that have a view line.
+    ``ids`` (a table with ``pi_id``) restricts headers, payments and lines at
+    their scans, before anything is joined or summed.
+    """
+    return _header_columns(t, as_of, ids).join(_with_lines(t, ids), "pi_id", "left_semi")
+
+
+def recent_ids(t: Tables, limit: int) -> DataFrame:
+    """The newest ``limit`` invoices of the header view (date, number, id, descending), as (pi_id).
+
+    Reads keys only: a header is in the view if its companies and currency exist and it has a
+    line, so the payments, terms and names aren't needed to choose.
+    """
+    exists = lambda df, key: df.select(F.col("id").alias(key))
+    heads = (active(t.purchase_invoices).select(F.col("id").alias("pi_id"), "invoiced_date", "invoice_number",
+                                                "seller_id", "buyer_id", "currency_id")
+             .join(dim(exists(t.companies, "seller_id")), "seller_id", "left_semi")
+             .join(dim(exists(t.companies, "buyer_id")), "buyer_id", "left_semi")
+             .join(dim(exists(t.currencies, "currency_id")), "currency_id", "left_semi")
+             .join(_with_lines(t), "pi_id", "left_semi"))
+    return heads.orderBy(F.col("invoiced_date").desc(), F.col("invoice_number").desc(),
+                         F.col("pi_id").desc()).limit(limit).select("pi_id")
