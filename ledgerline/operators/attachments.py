@@ -3,13 +3,15 @@ attachment look-ups and object-store listings (as tables)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import files as FL
 from ledgerline.functions.money import size_mb
+from ledgerline.operators.appends import append_batch
 from ledgerline.operators.joins import active, dim
 from ledgerline.operators.sequence import row_numbers
+from ledgerline.session import written
 from ledgerline.sources.tables import Tables
 
 ALLOWED_TEXT = ", ".join(FL.ALLOWED_FILE_TYPES)
@@ -104,6 +106,11 @@ def new_media_rows(t: Tables, keys: DataFrame, created_by: str, created_at) -> D
         ts.alias("updated_date"), F.lit(0).alias("version"))
 
 
+def append_media(media: DataFrame, root: str, batch: str | None = None) -> dict[str, int]:
+    """Append rows of :func:`new_media_rows` to the media table under ``root``."""
+    return append_batch(root, {"medias": media}, batch)
+
+
 def invoice_attachments(t: Tables, invoice_ids: DataFrame | None = None) -> DataFrame:
     """Active attachment links with media and uploader name, newest first."""
     links = active(t.purchase_invoice_medias).select(
@@ -180,6 +187,60 @@ def orphan_objects(t: Tables) -> DataFrame:
     return files.join(t.medias.select(F.col("path").alias("key")), "key", "left_anti")
 
 
+LISTING = "key string, size long, last_modified timestamp, etag string, is_folder boolean"
+
+
+def list_store(spark: SparkSession, root: str, parts: int | None = None) -> DataFrame:
+    """The listing table of a store, made by tasks: (key, size, last_modified, etag).
+
+    One level of folders is listed at a time: the folders of a level are dealt over tasks, each
+    lists its own, files become rows, folders are the next level. No process sees the whole
+    listing; the driver only learns whether a level has folders. Levels are written, so a lost
+    executor repeats its folders of one level. ``root`` is a path or a URI that Arrow's file
+    systems open on the executors (a shared file system, s3://, gs://, hdfs://); a
+    store that only Spark reads is listed by :func:`listing_from_folder`.
+    """
+    def entries(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        types = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.bool_()]
+        names = ["key", "size", "last_modified", "etag", "is_folder"]
+        store, top = (fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:")
+                      else (fs.LocalFileSystem(), root))
+        top = top.rstrip("/")
+        for batch in batches:
+            for prefix in batch.column(0).to_pylist():
+                found = store.get_file_info(fs.FileSelector(f"{top}/{prefix}" if prefix else top))
+                for at in range(0, len(found), 10_000):
+                    rows = [(f.path[len(top) + 1:], f.size or 0, f.mtime, None, f.type == fs.FileType.Directory)
+                            for f in found[at:at + 10_000]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    level, files = spark.createDataFrame([("",)], "prefix string"), None
+    tasks = parts or spark.sparkContext.defaultParallelism
+    while True:
+        found = written(level.repartition(tasks, "prefix").mapInArrow(entries, LISTING), "listing")
+        mine = found.where(~F.col("is_folder")).drop("is_folder")
+        files = mine if files is None else files.unionByName(mine)
+        level = found.where("is_folder").select(F.col("key").alias("prefix"))
+        if level.isEmpty():
+            return files
+
+
+def listing_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What happened between two listings: (key, change, old_size, new_size) with change
+    ``added``, ``removed`` or ``changed`` (another size, time or etag)."""
+    side = lambda df, name: df.select(
+        "key", F.struct("size", "last_modified", "etag").alias(name))
+    j = side(old, "o").join(side(new, "n"), "key", "full_outer")
+    change = (F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed")
+              .when(~F.col("o").eqNullSafe(F.col("n")), "changed"))
+    return j.select("key", change.alias("change"), F.col("o.size").alias("old_size"),
+                    F.col("n.size").alias("new_size")).where(F.col("change").isNotNull())
+
+
 def listing_from_folder(spark, root: str) -> DataFrame:
     """Listing table of a real folder through the ``binaryFile`` source, keys
     relative to ``root`` (content is not read: only path, length and time)."""

@@ -137,7 +137,8 @@ def edit_check(t: Tables, edits: DataFrame, as_of) -> DataFrame:
     """Validate edits (invoice_id, invoiced_date, due_date; NULL = not sent):
     invoice exists; new date not after ``as_of``; due date not before the new
     (or stored) invoice date; invoice not fully paid. First failure wins."""
-    inv = invoice_header_view(t, as_of).select(
+    asked = edits.select(F.col("invoice_id").alias("pi_id")).distinct()
+    inv = invoice_header_view(t, as_of, asked).select(
         F.col("pi_id").alias("invoice_id"), F.col("inv_date").alias("_stored_date"),
         "payment_status", F.lit(True).alias("_found"))
     j = edits.join(inv, "invoice_id", "left")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import MONEY
 from ledgerline.operators.dedup import first_per_key
 from ledgerline.operators.joins import active, dim
 from ledgerline.operators.worklist import pending_count
-from ledgerline.plans.views import _date, invoice_header_view, invoice_line_view
+from ledgerline.plans.views import _date, invoice_header_view, invoice_line_view, recent_ids
+from ledgerline.session import written
+from ledgerline.sources.layout import MONTHLY, month_number
 from ledgerline.sources.tables import Tables
 
 RECENT_COLUMNS = [
@@ -74,18 +75,19 @@ def _rename(df: DataFrame, pairs) -> DataFrame:
 def recent_invoices(t: Tables, limit: int = 100, as_of=None) -> DataFrame:
     """The ``limit`` newest invoices (invoice date, number, then id, descending).
 
-    Reads header rows (one per invoice), so the top-k runs as a per-task
-    top-k plus one merge (TakeOrderedAndProject), not a sort of line rows.
+    The top-k runs on narrow key rows (a top-k per task plus one merge); payments and
+    details are then read for its ``limit`` ids only, which are written so that every
+    scan is reduced by the same small table.
     """
-    h = _rename(invoice_header_view(t, as_of), RECENT_COLUMNS)
-    return h.orderBy(F.col("invoiced_date").desc(), F.col("invoice_number").desc(),
-                     F.col("id").desc()).limit(limit)
+    newest = F.broadcast(written(recent_ids(t, limit), "recent"))  # at most ``limit`` rows
+    return _rename(invoice_header_view(t, as_of, newest), RECENT_COLUMNS).orderBy(
+        F.col("invoiced_date").desc(), F.col("invoice_number").desc(), F.col("id").desc())
 
 
 def invoices_by_id(t: Tables, ids: DataFrame, as_of=None) -> DataFrame:
-    """Invoice records for a set of ids (batch form of a by-id look-up)."""
+    """Invoice records for a set of ids (batch form of a by-id look-up), which reduce every scan."""
     ids = ids.select(F.col(ids.columns[0]).alias("pi_id")).distinct()
-    return _rename(invoice_header_view(t, as_of).join(ids, "pi_id", "left_semi"), BY_ID_COLUMNS)
+    return _rename(invoice_header_view(t, as_of, ids), BY_ID_COLUMNS)
 
 
 def invoice_lines(t: Tables, ids: DataFrame | None = None, as_of=None) -> DataFrame:
@@ -157,15 +159,45 @@ def aging_report(t: Tables, as_of=None) -> DataFrame:
 
 def _month_invoices(t: Tables, as_of):
     """Active invoices created in the month of ``as_of`` (half-open range on the
-    raw column, so the bounds reach the Parquet scan as pushed filters)."""
+    raw column, so the bounds reach the Parquet scan as pushed filters; a table stored
+    by month is read in that month's partition only)."""
     d = _date(as_of)
     start = F.trunc(d, "MM")
     pi = active(t.purchase_invoices).where(
         (F.col("created_date") >= start) & (F.col("created_date") < F.add_months(start, 1)))
+    month, _ = MONTHLY["purchase_invoices"]
+    if month in pi.columns:
+        pi = pi.where(F.col(month) == month_number(d))
     today = (F.col("created_date") >= d) & (F.col("created_date") < F.date_add(d, 1))
     return pi, today
 
 
+def _month_sets(t: Tables, as_of) -> DataFrame:
+    """The month's invoices grouped by currency and by type, in one scan (GROUPING SETS).
+
+    ``set`` is ``currency`` or ``type``; ``has_currency`` tells invoices of a known currency
+    (the only ones that count by currency) from the rest, which count by type.
+    """
+    pi, today = _month_invoices(t, as_of)
+    cur = dim(t.currencies.select(F.col("id").alias("currency_id"), F.col("code").alias("currency"),
+                                  F.lit(True).alias("has_currency")))
+    amount = F.col("total_invoiced_amount")
+    rows = pi.join(cur, "currency_id", "left").select(
+        "currency", "has_currency", _invoice_type().alias("invoice_type"), amount, today.alias("is_today"))
+    return (rows.groupingSets([[F.col("currency"), F.col("has_currency")], [F.col("invoice_type")]],
+                              "currency", "has_currency", "invoice_type")
+            .agg(F.when(F.grouping("invoice_type") == 1, "currency").otherwise("type").alias("set"),
+                 F.count(F.lit(1)).alias("month_count"),
+                 F.coalesce(F.sum(amount), F.lit(0)).alias("month_total"),
+                 F.count_if("is_today").alias("today_count"),
+                 F.coalesce(F.sum(F.when(F.col("is_today"), amount)), F.lit(0)).alias("today_total"))
+            .where((F.col("set") == "type") | F.col("has_currency")))
+
+
+def _invoice_type():
+    return F.when(F.col("invoice_number").like("%-A"), "Advance Payment").otherwise("Commercial Invoice")
+
+
 def _by_currency(t: Tables, as_of) -> DataFrame:
     pi, today = _month_invoices(t, as_of)
     cur = dim(t.currencies.select(F.col("id").alias("currency_id"), F.col("code").alias("currency")))
@@ -198,9 +230,7 @@ def invoice_type_breakdown(t: Tables, as_of=None) -> DataFrame:
     """Invoices of the month by number suffix: ``-A`` advance, else commercial
     (no currency join, so invoices without a currency still count)."""
     pi, _ = _month_invoices(t, as_of)
-    kind = F.when(F.col("invoice_number").like("%-A"), "Advance Payment") \
-        .otherwise("Commercial Invoice")
-    return pi.groupBy(kind.alias("invoice_type")).agg(F.count(F.lit(1)).alias("type_count"))
+    return pi.groupBy(_invoice_type().alias("invoice_type")).agg(F.count(F.lit(1)).alias("type_count"))
 
 
 def dashboard(t: Tables, as_of=None) -> DataFrame:
@@ -210,34 +240,35 @@ def dashboard(t: Tables, as_of=None) -> DataFrame:
     per currency, ``type`` per invoice type, and ``today_top`` /
     ``month_top`` (total count, largest currency and its total; USD and 0
     when there is no invoice). The largest currency is the maximum of
-    (total, code), so equal totals resolve to the greater code. All rows by
-    currency come from one aggregate of the month's invoices.
+    (total, code), so equal totals resolve to the greater code. All rows of the
+    month come from one scan of its invoices.
     """
     money = "decimal(18,2)"
-    row = lambda section, label, count, total: F.struct(
-        F.lit(section).alias("section"), label.alias("key"), F.col("currency").alias("label"),
-        F.col(count).alias("count"), F.col(total).cast(money).alias("total"))
-    none = F.lit(None).cast("string")
-    today = F.array(row("today", F.col("currency"), "today_count", "today_total"),
-                    row("today_top", none, "today_count", "today_total"))
-    month = F.array(row("month", F.col("currency"), "month_count", "month_total"),
-                    row("month_top", none, "month_count", "month_total"))
-    shown = F.when(F.col("today_count") > 0, F.concat(today, month)).otherwise(month)
-    rows = _by_currency(t, as_of).select(F.explode(shown).alias("r")).select("r.*")
+    row = lambda section, key, label, count, total: F.struct(
+        F.lit(section).alias("section"), key.alias("key"), label.alias("label"),
+        F.col(count).alias("count"), total.cast(money).alias("total"))
+    none, code = F.lit(None).cast("string"), F.col("currency")
+    today = F.array(row("today", code, code, "today_count", F.col("today_total")),
+                    row("today_top", none, code, "today_count", F.col("today_total")))
+    month = F.array(row("month", code, code, "month_count", F.col("month_total")),
+                    row("month_top", none, code, "month_count", F.col("month_total")))
+    kind = F.array(row("type", F.col("invoice_type"), F.col("invoice_type"), "month_count", F.lit(None)))
+    shown = (F.when(F.col("set") == "type", kind)
+             .when(F.col("today_count") > 0, F.concat(today, month)).otherwise(month))
+    rows = _month_sets(t, as_of).select(F.explode(shown).alias("r")).select("r.*")
     # a row of its own keeps both tops when there is no invoice
     always = t.spark.range(1).select(F.explode(F.array(F.lit("today_top"), F.lit("month_top"))).alias("section"))
     rows = rows.unionByName(always, allowMissingColumns=True)
     largest = F.max(F.when(F.col("total").isNotNull(), F.struct("total", "label")))
-    by_currency = rows.groupBy("section", "key").agg(
+    by_section = rows.groupBy("section", "key").agg(
         F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("count"), largest.alias("_max")).select(
         "section", F.when(F.col("section").endswith("_top"), F.coalesce("_max.label", F.lit("USD")))
         .otherwise(F.col("key")).alias("label"), "count",
-        F.coalesce("_max.total", F.lit(0)).cast(money).alias("total"))
-    plain = lambda df, section, label, count: df.select(
-        F.lit(section).alias("section"), label.alias("label"), F.col(count).alias("count"),
+        F.when(F.col("section") != "type", F.coalesce("_max.total", F.lit(0))).cast(money).alias("total"))
+    pending = pending_count(t, as_of).select(
+        F.lit("pending").alias("section"), none.alias("label"), F.col("pending_count").alias("count"),
         F.lit(None).cast(money).alias("total"))
-    return (plain(pending_count(t, as_of), "pending", none, "pending_count").unionByName(by_currency)
-            .unionByName(plain(invoice_type_breakdown(t, as_of), "type", F.col("invoice_type"), "type_count")))
+    return pending.unionByName(by_section)
 
 
 def max_invoice_id(t: Tables) -> DataFrame:
