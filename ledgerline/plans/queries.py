@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.operators import worklist
+from ledgerline.session import run_folder, written
 from ledgerline.sources.tables import Tables
 
 _tables: dict[tuple, Tables] = {}
@@ -46,7 +47,7 @@ def q_uninvoiced_worklist(t: Tables) -> DataFrame:
 from pyspark.sql import functions as F  # noqa: E402
 
 from ledgerline.operators import details, rates, reports, terms  # noqa: E402
-from ledgerline.operators.joins import active  # noqa: E402
+from ledgerline.operators.joins import active, dim  # noqa: E402
 
 # A filter set of the kind the worklist page sends (FIL2).
 SAMPLE_FILTERS = {
@@ -297,6 +298,30 @@ def q_selection_amounts(t: Tables) -> DataFrame:
     return selections.amounts_in_currency(t, sel, target)
 
 
+@query("selection_check_counts")
+def q_selection_check_counts(t: Tables) -> DataFrame:
+    """DOM2: the basic check with the number of vendors or entities instead of their list."""
+    return selections.selection_check(sample_selections(t), lists=False)
+
+
+@query("selection_values")
+def q_selection_values(t: Tables) -> DataFrame:
+    """DOM2/DOM3/SET3: vendors, types, entities, terms and VAT rates of each selection as numbered rows."""
+    return selections.selection_value_rows(sample_selections(t))
+
+
+@query("preview_notes")
+def q_preview_notes(t: Tables) -> DataFrame:
+    """SET3/AGG11: the arrival notes of each preview line as numbered rows."""
+    return selections.preview_notes(sample_selections(t))
+
+
+@query("preview_counts")
+def q_preview_counts(t: Tables) -> DataFrame:
+    """AGG11: preview lines with the number of their arrival notes instead of the list."""
+    return selections.invoice_preview(sample_selections(t), lists=False)
+
+
 # ---------------------------------------------------------------------------
 # attachments and object listings
 # ---------------------------------------------------------------------------
@@ -395,7 +420,8 @@ def _build(t: Tables, lines_too: bool = True):
     """Invoice requests: every selection that passes the basic check; invoice
     currency = PO currency, or USD for every fourth selection."""
     sel = sample_selections(t)
-    ok = selections.selection_check(sel).where("is_valid").select("selection_id")
+    # a row per valid selection, read by the requests and by the lines
+    ok = written(selections.selection_check(sel, lists=False).where("is_valid").select("selection_id"), "valid")
     first_cur = sel.groupBy("selection_id").agg(
         F.min_by(F.substring_index("buying_unit_cost", " ", -1), "line_no").alias("po_cur"))
     requests = ok.join(first_cur, "selection_id").select(
@@ -547,7 +573,10 @@ def q_amount_texts(t: Tables) -> DataFrame:
     m = active(t.purchase_invoices).groupBy(
         F.date_format("invoiced_date", "yyyy-MM").alias("month"), "currency_id").agg(
         F.sum("total_invoiced_amount").alias("amount"))
-    return m.select("month", "currency_id", large_number("amount", F.lit("USD")).alias("amount_text"))
+    codes = dim(t.currencies.select(F.col("id").alias("currency_id"), "code"))
+    # a currency without a code has no label
+    text = F.rtrim(large_number("amount", F.coalesce("code", F.lit(""))))
+    return m.join(codes, "currency_id", "left").select("month", "currency_id", text.alias("amount_text"))
 
 
 @query("attachment_icons")
@@ -570,5 +599,166 @@ def q_event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.sources import documents as D
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     doc = D.parse_json("props")
-    return ev.select("event_id", F.variant_get(doc, "$.k", "long").alias("k"), D.template_key(
+    return ev.select("event_id", F.try_variant_get(doc, "$.k", "long").alias("k"), D.template_key(
         F.col("event_type"), F.concat(F.lit("Event "), F.col("event_id").cast("string")), "app").alias("key"))
+
+
+# ---------------------------------------------------------------------------
+# stored forms: layout, repeated appends, month partitions, sketches, documents, listings
+# ---------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from ledgerline.operators import appends, snapshots  # noqa: E402
+from ledgerline.sources import layout  # noqa: E402
+
+_layouts: dict[int, Tables] = {}
+
+
+def layout_of(t: Tables) -> Tables:
+    """The tables in the bucketed layout, written once for this set of tables."""
+    if id(t) not in _layouts:
+        root = f"{run_folder(t.spark)}/layout-{uuid.uuid4().hex}"
+        _layouts[id(t)] = layout.layout_tables(t.spark, root, layout.write_layout(t, root))
+    return _layouts[id(t)]
+
+
+def _copy(t: Tables, *names: str) -> str:
+    """Copies of tables in a folder of their own, to append to or to change."""
+    root = f"{run_folder(t.spark)}/copy-{uuid.uuid4().hex}"
+    for name in names:
+        t.table(name).write.parquet(f"{root}/{name}")
+    return root
+
+
+@query("uninvoiced_worklist_on_layout")
+def q_worklist_on_layout(t: Tables) -> DataFrame:
+    """SRC1/FIL1: the worklist over the bucketed tables."""
+    return worklist.uninvoiced_worklist(layout_of(t))
+
+
+@query("month_by_currency_on_layout")
+def q_month_on_layout(t: Tables) -> DataFrame:
+    """SRC1/FIL8/AGG5: the month's invoices from their month partition."""
+    return reports.month_by_currency(layout_of(t))
+
+
+@query("replayed_invoice_lines")
+def q_replayed_lines(t: Tables) -> DataFrame:
+    """SNK1: stored lines of an invoice batch that was appended twice, with their header's number."""
+    root = _copy(t, "purchase_invoices", "purchase_invoice_details")
+    for _ in range(2):
+        headers, lines = _build(t)
+        invoicing.append_invoices(headers, lines, root, "b1")
+    read = lambda name: appends.stored_table(t.spark, f"{root}/{name}").where("batch_id = 'b1'")
+    heads = read("purchase_invoices").select(F.col("id").alias("purchase_invoice_id"), "invoice_number")
+    return read("purchase_invoice_details").join(heads, "purchase_invoice_id").select(
+        "id", "purchase_invoice_id", "invoice_number", "arrival_detail_id", "purchased_invoice_quantity", "batch_id")
+
+
+@query("replayed_media_rows")
+def q_replayed_media(t: Tables) -> DataFrame:
+    """SNK2: the stored media table after a batch of new rows was appended twice."""
+    root = _copy(t, "medias")
+    for _ in range(2):
+        attachments.append_media(q_new_media_rows(t), root, "b1")
+    return appends.stored_table(t.spark, f"{root}/medias").select("id", "name", "path", "batch_id")
+
+
+@query("replayed_media_links")
+def q_replayed_links(t: Tables) -> DataFrame:
+    """SNK3: the stored link table after a batch of new rows was appended twice."""
+    root = _copy(t, "purchase_invoice_medias")
+    for _ in range(2):
+        invoicing.append_media_links(q_new_media_links(t), root, "b1")
+    return appends.stored_table(t.spark, f"{root}/purchase_invoice_medias").select(
+        "id", "purchase_invoice_id", "media_id", "delete_flag", "batch_id")
+
+
+def _months_copy(t: Tables) -> str:
+    path = f"{run_folder(t.spark)}/months-{uuid.uuid4().hex}"
+    snapshots.write_by_month(t.purchase_invoices, path)
+    return path
+
+
+def _read_months(t: Tables, path: str) -> DataFrame:
+    return snapshots.read_by_month(t.spark, path).drop(snapshots.MONTH)
+
+
+@query("updated_invoices_by_month")
+def q_updated_by_month(t: Tables) -> DataFrame:
+    """DOM7: the stored table after updates that replaced the touched months only."""
+    path = _months_copy(t)
+    snapshots.update_in_place(t, path, _update_requests(t), AS_OF)
+    return _read_months(t, path)
+
+
+@query("voided_invoices_by_month")
+def q_voided_by_month(t: Tables) -> DataFrame:
+    """DOM8: the stored table after voids that replaced the touched months only."""
+    path = _months_copy(t)
+    snapshots.void_in_place(t, path, _old_invoice_ids(t), AS_OF)
+    return _read_months(t, path)
+
+
+@query("purged_invoices_by_month")
+def q_purged_by_month(t: Tables) -> DataFrame:
+    """DOM9: the stored table after a hard delete that replaced the touched months only."""
+    path = _months_copy(t)
+    snapshots.purge_in_place(t, path, _old_invoice_ids(t))
+    return _read_months(t, path)
+
+
+@query("pending_sketch_check")
+def q_pending_sketches(t: Tables) -> DataFrame:
+    """AGG3: exact pending counts per arrival month and of all months (NULL), and whether the
+    estimate from the stored month sketches is within four standard errors of each."""
+    sketches = written(worklist.pending_sketches(t), "sketches")
+    estimate = F.hll_sketch_estimate("sketch").alias("estimate")
+    estimates = sketches.select("arrival_month", estimate).unionByName(
+        worklist.sketched_count(sketches).select(F.lit(None).cast("string").alias("arrival_month"),
+                                                 F.col("pending_estimate").alias("estimate")))
+    lines = worklist.uninvoiced_worklist(t, ordered=False).select(
+        F.date_format("arrival_date", "yyyy-MM").alias("arrival_month"))
+    exact = lines.rollup("arrival_month").agg(F.count(F.lit(1)).alias("pending_count"),
+                                              F.grouping("arrival_month").alias("is_total"))
+    exact = exact.where("is_total = 1 or arrival_month is not null")
+    close = F.abs(F.col("estimate") - F.col("pending_count")) <= F.greatest(
+        F.lit(1.0), 4 * worklist.sketch_error() * F.col("pending_count"))
+    return exact.join(estimates.withColumnRenamed("arrival_month", "m"),
+                      F.col("arrival_month").eqNullSafe(F.col("m")), "left").select(
+        "arrival_month", "pending_count", F.coalesce(close, F.lit(False)).alias("estimate_is_close"))
+
+
+@query("bad_cost_count")
+def q_bad_costs(t: Tables) -> DataFrame:
+    """SRC1/N2: worklist lines by what their cost text holds: a number, no text, or no number."""
+    return worklist.cost_quality(worklist.uninvoiced_worklist(t, ordered=False))
+
+
+@query("listing_changes")
+def q_listing_changes(t: Tables) -> DataFrame:
+    """SRC2: what changed between an earlier listing (stand-in: renamed and resized keys) and the present one."""
+    now = t.object_listing
+    earlier = now.select(
+        F.when(F.col("size") % 7 == 0, F.concat("key", F.lit(".old"))).otherwise(F.col("key")).alias("key"),
+        F.when(F.col("size") % 7 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+        "last_modified", "etag")
+    return attachments.listing_changes(earlier, now)
+
+
+@_raw_query("stored_documents")
+def q_stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5/SNK4: a summary document per event type and month, saved under its key (the first save
+    is replaced by the second) and read back by key."""
+    from ledgerline.sources import documents as D
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    docs = ev.groupBy(F.initcap("event_type").alias("customer_code"),
+                      F.concat(F.lit("Month "), F.date_format("ts", "yyyy-MM")).alias("template_name")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    path = f"{run_folder(spark)}/documents-{uuid.uuid4().hex}"
+    for n in (F.lit(0), F.col("n")):
+        D.save_templates(docs.select("customer_code", "template_name",
+                                     F.struct(n.alias("n"), "first").alias("template")), path)
+    back = D.load_templates(spark, path, "app", docs.select("customer_code", "template_name"))
+    return back.select("customer", "name", "key", F.try_variant_get("document", "$.n", "long").alias("n"),
+                       F.try_variant_get("document", "$.first", "long").alias("first"))

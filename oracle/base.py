@@ -89,9 +89,9 @@ VIEW_CTES = [
               WHEN arrived > 0 THEN 'Partially Arrived' ELSE 'Pending' END AS po_line_status,
          CASE WHEN arrived > pq THEN 'Y' ELSE 'N' END AS po_line_is_over_delivered,
          CASE WHEN pq - po_invoiced < 0 THEN 'Y' ELSE 'N' END AS po_line_is_over_invoiced,
-         cast(CASE WHEN pq <> 0 THEN round(arrived * 100 / pq, 2) END AS decimal(12,2))
+         cast(CASE WHEN pq <> 0 THEN round(arrived * 100 / pq, 2) END AS decimal(24,2))
            AS po_line_arrival_completion_percent,
-         cast(CASE WHEN pq <> 0 THEN round(po_invoiced * 100 / pq, 2) END AS decimal(12,2))
+         cast(CASE WHEN pq <> 0 THEN round(po_invoiced * 100 / pq, 2) END AS decimal(24,2))
            AS po_line_invoice_completion_percent,
          cast(pq - po_invoiced AS decimal(18,2)) AS po_line_pending_invoiced_qty
   FROM can0)""",
@@ -123,11 +123,11 @@ VIEW_CTES = [
   SELECT pi_id, inv_number, commercial_inv_number, inv_date, due_date, total_invoiced_amount,
          vendor, vendor_code, legal_entity, legal_entity_code, invoiced_currency, payment_term,
          created_by, inv_type, is_advance_payment, email_to_accountant,
-         cast(paid AS decimal(15,2)) AS total_payment_made, payment_count, last_payment_date,
+         cast(paid AS decimal(24,2)) AS total_payment_made, payment_count, last_payment_date,
          cast(CASE WHEN total_invoiced_amount > 0 THEN round(paid / total_invoiced_amount, 4)
-                   ELSE 0 END AS decimal(10,4)) AS payment_ratio,
+                   ELSE 0 END AS decimal(24,4)) AS payment_ratio,
          payment_status,
-         cast(total_invoiced_amount - paid AS decimal(15,2)) AS total_outstanding_amount,
+         cast(total_invoiced_amount - paid AS decimal(24,2)) AS total_outstanding_amount,
          cast(CASE WHEN payment_status <> 'Fully Paid'
                    THEN greatest(0, datediff('day', due_date, {AS_OF})) ELSE 0 END AS int)
            AS days_overdue
@@ -144,7 +144,7 @@ VIEW_CTES = [
          p.name AS product_name, p.vendor_product_code, p.brand,
          cast(d.invoiced_quantity AS decimal(18,2)) AS invoiced_quantity,
          ppo.purchaseuom AS buying_uom,
-         cast(round(ppo.purchase_unit_cost * d.exchange_rate, 2) AS decimal(15,2)) AS inv_unit_price,
+         cast(round(ppo.purchase_unit_cost * d.exchange_rate, 2) AS decimal(24,2)) AS inv_unit_price,
          cast(d.amount AS decimal(15,2)) AS invoiced_amount, d.vat_gst AS vat_percent,
          al.arrival_note_number AS can_number, al.arrival_date,
          ppo.purchase_quantity AS orig,
@@ -165,7 +165,7 @@ VIEW_CTES = [
          cast(l.orig - l.cancelled AS decimal(18,2)) AS buying_ordered_quantity,
          cast(l.orig - l.cancelled - l.po_invoiced AS decimal(18,2)) AS remaining_buying_qty_to_invoice,
          cast(CASE WHEN l.orig - l.cancelled <> 0
-                   THEN round(l.po_invoiced * 100 / (l.orig - l.cancelled), 2) END AS decimal(12,2))
+                   THEN round(l.po_invoiced * 100 / (l.orig - l.cancelled), 2) END AS decimal(24,2))
            AS invoice_completion_percent,
          CASE WHEN l.orig - l.cancelled - l.po_invoiced <= 0 THEN 'Fully Invoiced'
               ELSE 'Partially Invoiced' END AS invoice_status,
