@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import ascii_lower, group_arrow, map_arrow, stored, text_or_empty
 
+#: Blocks are at least this power of two, and of about ``BLOCK_ROWS`` rows each.
 BLOCK_BITS = 10
+BLOCK_ROWS = 1 << 20
 QUOTIENT_BITS = 8
 #: Fingerprints are broadcast up to this many (8 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
-BLOCK_SCHEMA = "block int, occupieds binary, runends binary, remainders binary, counts binary"
+BLOCK_SCHEMA = "block long, occupieds binary, runends binary, remainders binary, counts binary"
 
 
 def encode(fps: np.ndarray, counts: np.ndarray, block_bits: int = BLOCK_BITS,
@@ -75,37 +77,55 @@ def merge_sorted(fps: np.ndarray, counts: np.ndarray):
     return fps[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _build(batches):
-    fps, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for batch in batches:
-        new = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        fps, counts = merge_sorted(np.concatenate([fps, new]),
-                                   np.concatenate([counts, np.ones(len(new), np.int64)]))
-    blocks = list(encode(fps, counts))
-    if blocks:
-        yield pa.RecordBatch.from_pylist(blocks, schema=pa.schema(
-            [("block", pa.int32())] + [(c, pa.binary()) for c in (
-                "occupieds", "runends", "remainders", "counts")]))
+def block_bits(rows: int) -> int:
+    """The power of two of the blocks for so many rows: their number follows the table, their size doesn't."""
+    return min(40, max(BLOCK_BITS, (rows // BLOCK_ROWS).bit_length()))
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    parts = [decode(**row) for row in table.to_pylist()]
-    fps, counts = merge_sorted(np.concatenate([p[0] for p in parts]),
-                               np.concatenate([p[1] for p in parts]))
-    more = counts > 1
-    return pa.table({"fp": fps[more].view(np.int64), "n": counts[more]})
+def partition_filters(bits: int):
+    """The filters of a partition's fingerprints, block by block."""
+    def build(batches):
+        parts = []  # (fingerprints, counts), each at least twice as large as the next
+        for batch in batches:
+            new = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            parts.append(merge_sorted(new, np.ones(len(new), np.int64)))
+            while len(parts) > 1 and len(parts[-2][0]) < 2 * len(parts[-1][0]):
+                parts[-2:] = [merge_sorted(*(np.concatenate(c) for c in zip(*parts[-2:])))]
+        if parts:
+            fps, counts = merge_sorted(*(np.concatenate(c) for c in zip(*parts)))
+            blocks = list(encode(fps, counts, bits))
+            for at in range(0, len(blocks), 4096):
+                yield pa.RecordBatch.from_pylist(blocks[at:at + 4096], schema=pa.schema(
+                    [("block", pa.int64())] + [(c, pa.binary()) for c in (
+                        "occupieds", "runends", "remainders", "counts")]))
+
+    return build
+
+
+def block_merge(bits: int):
+    def merge(table: pa.Table) -> pa.Table:
+        parts = [decode(**row, block_bits=bits) for row in table.to_pylist()]
+        fps, counts = merge_sorted(*(np.concatenate(c) for c in zip(*parts)))
+        more = counts > 1
+        return pa.table({"fp": fps[more].view(np.int64), "n": counts[more]})
+
+    return merge
 
 
 def repeated_fingerprints(fps: DataFrame) -> DataFrame:
     """(fp, n) of the fingerprints that occur more than once in column ``fp``."""
-    blocks = map_arrow(fps.select("fp"), _build, BLOCK_SCHEMA)
-    return group_arrow(blocks, "block", _merge, "fp long, n long")
+    bits = block_bits(fps.count())
+    blocks = map_arrow(fps.select("fp"), partition_filters(bits), BLOCK_SCHEMA)
+    return group_arrow(blocks, "block", block_merge(bits), "fp long, n long")
+
 
+def dedup(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row."""
+    ``fingerprint`` makes a long from the normalised text; any will do, since texts are compared.
+    """
     texts = docs.select("doc_id", ascii_lower(text_or_empty()).alias("norm")) \
-        .withColumn("fp", F.xxhash64("norm"))
+        .withColumn("fp", fingerprint("norm"))
     rows = stored(texts.select("doc_id", "fp", F.sha2("norm", 256).alias("text_sha256")),
                   "fingerprints")
     repeated = stored(repeated_fingerprints(rows), "repeated").select("fp")
