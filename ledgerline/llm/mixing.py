@@ -9,7 +9,7 @@ of the stream is trained at ``D^-1(c)``, and the stream ends at the target (the
 last copy may be cut). Documents are range-sorted by that position.
 
 Running totals inside a source never use one task per source: documents are
-cut by hash into 4096 buckets per source, bucket totals give offsets,
+cut by hash into buckets per source (their number follows the table), bucket totals give offsets,
 and only a bucket is ordered at a time. Only the table of sources (one row
 each) is ordered as a whole.
 
@@ -25,31 +25,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import WORD, stored, text_or_empty, whole_row
+from ledgerline.operators.joins import dim
 
 WEIGHTS = (5, 2, 1)
 #: Curriculum slope of the weight classes: the first fades, the last grows.
 SLOPES = (-0.5, 0.0, 0.5)
 PASSES = 3
-#: Hex digits of a bucket: 4096 buckets a source.
+#: Hex digits of a bucket, at least: 4096 buckets a source; more, so that one has about ``BUCKET_ROWS`` rows.
 BUCKET_DIGITS = 3
+BUCKET_ROWS = 50_000
 
 
 def sized_documents(docs: DataFrame, seed: int = 0, whole: bool = False) -> DataFrame:
-    """(doc_id, source, size, _source, _hash, _bucket); ``_source`` is never null.
+    """(doc_id, source, size, _source, _hash, _text); ``_source`` is never null.
 
-    With ``whole``, ``_row`` carries all columns of the document.
+    Documents are in the order of ``_hash`` (of the doc_id), then ``_text`` (a hash of the text,
+    for rows that share a doc_id or have none). With ``whole``, ``_row`` carries all columns.
     """
     text = text_or_empty()
     return docs.select(
         *([whole_row(docs)] if whole else []),
         "doc_id", F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0")).alias("_text"),
     ).withColumns({
         "_source": F.when(F.col("source").isNull(), F.lit("n")).otherwise(
             F.concat(F.lit("s"), F.col("source"))),
         "_hash": F.substring(F.md5(F.concat(F.lit(f"mix{seed}:"), F.coalesce(
-            F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 16)}).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+            F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 16)})
+
+
+def bucketed(rows: DataFrame, digits: int, repeated: DataFrame | None) -> DataFrame:
+    """Adds ``_bucket``, the beginning of the hash. In rows of a ``repeated`` hash (of a doc_id that
+    occurs again, or none) it ends with the text's hash, so that many of them have many buckets."""
+    prefix = F.substring("_hash", 1, digits)
+    if repeated is None:
+        return rows.withColumn("_bucket", prefix)
+    shared = F.concat(F.col("_hash"), F.substring("_text", 1, digits))
+    return rows.join(dim(repeated), "_hash", "left").withColumn(
+        "_bucket", F.when(F.col("_many"), shared).otherwise(prefix)).drop("_many")
+
+
+def bucket_digits(rows: int) -> int:
+    digits = BUCKET_DIGITS
+    while rows > BUCKET_ROWS * 16 ** digits and digits < 12:
+        digits += 1
+    return digits
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES,
@@ -85,9 +106,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES,
 def mixture(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, passes: int = PASSES,
             seed: int = 0, whole: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, position, _start, _goal), unsorted."""
-    rows = sized = stored(sized_documents(docs, seed), "sized")
-    if whole:
-        rows = sized_documents(docs, seed, whole=True)
+    sized = stored(sized_documents(docs, seed), "sized")
+    digits = bucket_digits(sized.count())
+    repeated = stored(sized.groupBy("_hash").count().where("count > 1")
+                      .select("_hash", F.lit(True).alias("_many")), "repeated-ids")
+    repeated = None if repeated.isEmpty() else repeated
+    sized = bucketed(sized, digits, repeated)
+    rows = bucketed(sized_documents(docs, seed, whole=True), digits, repeated) if whole else sized
     buckets = stored(sized.groupBy("_source", "_bucket").agg(
         F.first("source").alias("source"), F.sum("size").alias("_size")), "buckets")
     targets = source_targets(
@@ -100,7 +125,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, passes: int = PASSE
     offsets = (buckets.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
                .join(targets, "_source")
                .select("_source", "_bucket", "_offset", "source_size", "target", "_slope"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", "size")
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", "_text", "size")
     rows = rows.withColumn("_c", F.sum("size").over(
         inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.join(offsets, ["_source", "_bucket"])
