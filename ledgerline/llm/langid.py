@@ -18,7 +18,8 @@ chosen by hash among all training rows. Models hold at most ``MAX_LANGUAGES``.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0, and so is every text if nothing can be learned; equal texts get equal
-results; other columns are ignored.
+results; a very long text is scored in pieces of ``BLOCK`` characters and labelled as
+a whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import map_arrow
 
 PER_LANGUAGE = 3000
-MAX_LANGUAGES = 256
+#: Bounds the broadcast model (0.5 MB a language); more languages stop the training.
+MAX_LANGUAGES = 2048
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 #: Least share of a language's words that makes a script one of its own.
@@ -106,6 +108,16 @@ def scripts_of(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return SCRIPT_OF_RANGE[np.searchsorted(SCRIPT_STARTS, point, "right") - 1]
 
 
+def pieces(text: str, size: int = BLOCK):
+    """A long text in pieces of about ``size`` characters that cut no word."""
+    at = 0
+    while at < len(text):
+        end = NOT_LETTERS.search(text, at + size)
+        end = end.start() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
 def blocks(texts: list[str | None], size: int = BLOCK):
     """Lists of (position, text) of about ``size`` characters; texts without a letter are left out."""
     part, n = [], 0
@@ -151,13 +163,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     sample = rows.where(F.col("u") < share).select("lang", "text") if sizes else rows.select("lang", "text")
     found = map_arrow(sample, _count, "lang string, item int, n long").groupBy("lang", "item").agg(
         F.sum("n").alias("n"))
-    # at most MAX_LANGUAGES x (2 x 65536 + scripts) counts
-    table = found.groupBy("lang").agg(F.collect_list(F.struct("item", "n")).alias("counts")) \
-        .orderBy("lang").collect()
-    languages = [r["lang"] for r in table]
+    # at most MAX_LANGUAGES x (2 x 65536 + scripts) counts, as columns
+    table = found.orderBy("lang").toArrow()
+    names = table["lang"].combine_chunks().dictionary_encode()
+    languages = names.dictionary.to_pylist()
     counts = np.zeros((2 * GRAMS + len(SCRIPTS), len(languages)))
-    for k, r in enumerate(table):
-        counts[[c["item"] for c in r["counts"]], k] = [c["n"] for c in r["counts"]]
+    counts[table["item"].to_numpy(), names.indices.to_numpy(zero_copy_only=False)] = table["n"].to_numpy()
     scores = np.empty((2 * GRAMS, len(languages)), np.float32)
     for lo in (0, GRAMS):
         c = counts[lo:lo + GRAMS] + SMOOTHING
@@ -204,8 +215,11 @@ def viterbi(s: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
 
 def switch_can_pay(s: np.ndarray, best: int, penalty: float) -> bool:
     """Whether some stretch of words gains more than half of ``penalty`` by another language than ``best``."""
-    run = np.vstack([np.zeros(s.shape[1]), np.cumsum(s - s[:, best:best + 1], axis=0)])
-    return bool((run - np.minimum.accumulate(run, axis=0)).max() > penalty / 2)
+    for k in range(s.shape[1]):  # a language at a time: a very long text has many words
+        run = np.append(0.0, np.cumsum(s[:, k] - s[:, best]))
+        if (run - np.minimum.accumulate(run)).max() > penalty / 2:
+            return True
+    return False
 
 
 def label(texts: list[str | None], model: Model, penalty: float = SWITCH_PENALTY) -> list[dict]:
@@ -214,8 +228,17 @@ def label(texts: list[str | None], model: Model, penalty: float = SWITCH_PENALTY
     if not model.languages:
         return out
     for part in blocks(texts):
-        w = words_of([t for _, t in part])
-        s = word_scores(w, model)
+        if len(part) == 1:  # maybe a very long text: only its scores are held whole
+            scores, letters = [], []
+            for piece in pieces(part[0][1]):
+                w = words_of([piece])
+                scores.append(word_scores(w, model))
+                letters.append(w.letters)
+            s, letters = np.concatenate(scores), np.concatenate(letters)
+            w = Words(np.zeros(len(letters), np.int64), letters, None, [])
+        else:
+            w = words_of([t for _, t in part])
+            s = word_scores(w, model)
         edges = np.searchsorted(w.text, np.arange(len(part) + 1))
         for (i, _), lo, hi in zip(part, edges[:-1].tolist(), edges[1:].tolist()):
             if lo == hi:
