@@ -33,8 +33,10 @@ from ledgerline.llm.common import NULL_ID, keyed, map_arrow
 from ledgerline.operators.joins import plan_bytes
 
 U = np.uint64
-#: Buckets are at least this power of two, and about four to a shuffle partition.
+#: Buckets are at least this power of two, about four to a shuffle partition, and of about
+#: ``BUCKET_BYTES`` of stored input each: their number follows the input, their size doesn't.
 BUCKET_BITS = 9
+BUCKET_BYTES = 64 << 20
 HOT_RUNS = 256
 ANCHOR_RUNS = 1024
 BUCKET_RUNS = 1 << 18
@@ -92,8 +94,8 @@ class Rolling:
 BYTE_VALUES = [mix(np.arange(1, 257, dtype=U) * b) for b in BASES]
 
 
-def word_values(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit values of the words in ``data``, number of words before each edge)."""
+def word_values(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit values of the words in ``data``, number of words before each edge, their first bytes)."""
     gap = SPACE[data]
     inner = edges[1:-1]
     after = np.append(True, gap[:-1])
@@ -104,7 +106,36 @@ def word_values(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     first = np.flatnonzero(~gap & after)
     last = np.flatnonzero(~gap & before) + 1
     values = mix(Rolling(BYTE_VALUES[2][data], 2).of(first, last - first) + (last - first).astype(U))
-    return values, np.searchsorted(first, edges, "left")
+    return values, np.searchsorted(first, edges, "left"), first
+
+
+def word_pieces(data: np.ndarray, overlap: int = 0):
+    """(words before, values, first bytes, piece) of a long text, piece by piece, cut at white space.
+
+    A piece begins with the last ``overlap`` words of the one before it.
+    """
+    at = words = 0
+    while at < len(data):
+        end, values = at, ()
+        while end < len(data) and len(values) <= overlap:  # a piece has more words than it repeats
+            end = next_gap(data, min(len(data), end + BLOCK_TOKENS))
+            piece = data[at:end]
+            values, _, first = word_values(piece, np.array([0, len(piece)]))
+        yield words, values, first, piece
+        if end == len(data):
+            break
+        words += len(values) - overlap
+        at += int(first[len(values) - overlap]) if overlap else len(piece)
+
+
+def next_gap(data: np.ndarray, at: int) -> int:
+    """The first white space at or after ``at``, or the end."""
+    while at < len(data):
+        gaps = np.flatnonzero(SPACE[data[at:at + 4096]])
+        if len(gaps):
+            return at + int(gaps[0])
+        at = min(len(data), at + 4096)
+    return at
 
 
 class Block(NamedTuple):
@@ -126,8 +157,11 @@ def blocks(bodies: pa.Array, shape: Shape):
         end = max(end, row + 1)
         part = data[offsets[row]:offsets[end]]
         edges = offsets[row:end + 1] - offsets[row]
-        if shape.words:
-            values, edges = word_values(part, edges)
+        if shape.words and end == row + 1 and len(part) > BLOCK_TOKENS:
+            for before, values, _, _ in word_pieces(part, overlap):
+                yield Block([values, mix(values + BASES[1])], np.array([0, len(values)]), np.array([row]), before)
+        elif shape.words:
+            values, edges, _ = word_values(part, edges)
             yield Block([values, mix(values + BASES[1])], edges, np.arange(row, end), 0)
         elif end == row + 1 and len(part) > BLOCK_TOKENS:
             for at in range(0, max(1, len(part) - overlap), BLOCK_TOKENS):
@@ -226,9 +260,10 @@ _OUT = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.str
 WIRE = "bucket int, batch long, kind string, blob binary"
 
 
-def bucket_bits(spark) -> int:
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(BUCKET_BITS, (4 * parts - 1).bit_length())
+def bucket_bits(docs: DataFrame) -> int:
+    """The power of two of the buckets for these documents, from the size of their files."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(30, max(BUCKET_BITS, (4 * parts - 1).bit_length(), (plan_bytes(docs) // BUCKET_BYTES).bit_length()))
 
 
 def batch_limit(docs: DataFrame) -> int:
@@ -286,7 +321,7 @@ def with_bodies(docs: DataFrame) -> DataFrame:
 
 def run_batches(docs: DataFrame, shape: Shape, hot_runs: int | None = None) -> DataFrame:
     """The runs of all documents, batched per map task and bucketed by anchor."""
-    bits = bucket_bits(docs.sparkSession)
+    bits = bucket_bits(docs)
     hot_runs = hot_runs or batch_limit(docs)
 
     def values(batches):
@@ -316,9 +351,8 @@ def flags_of(column: pa.Array):
         yield [f[lo:hi] for f in fields] if ok and hi > lo else None
 
 
-def window_batches(flagged: DataFrame, shape: Shape) -> DataFrame:
+def window_batches(flagged: DataFrame, shape: Shape, bits: int = BUCKET_BITS) -> DataFrame:
     """The single windows of the flagged runs of (``_d``, ``_t``, ``packed`` body, ``runs``)."""
-    bits = bucket_bits(flagged.sparkSession)
 
     def values(batches):
         parts, n = [], 0
@@ -345,9 +379,8 @@ REFERENCE = "bucket int, kgram binary, doc binary, tag binary, start binary, n b
 _REFERENCE_TYPES = [("kgram", U), ("doc", np.int64), ("tag", np.int32), ("start", np.int64), ("n", np.int64)]
 
 
-def reference_rows(flagged: DataFrame, shape: Shape) -> DataFrame:
+def reference_rows(flagged: DataFrame, shape: Shape, bits: int = BUCKET_BITS) -> DataFrame:
     """The flagged runs with their tokens, batched by bucket of their anchors."""
-    bits = bucket_bits(flagged.sparkSession)
     kind = U if shape.words else np.uint8
 
     def rows(held):
@@ -407,10 +440,31 @@ def document_tokens(body: bytes, shape: Shape) -> list:
     data = np.frombuffer(body, np.uint8)
     if not shape.words:
         return [BYTE_VALUES[0][data], BYTE_VALUES[1][data]]
-    values, _ = word_values(data, np.array([0, len(data)])) if len(data) else (np.empty(0, U), None)
+    values = np.concatenate([np.empty(0, U), *(v for _, v, _, _ in word_pieces(data))])
     return [values, mix(values + BASES[1])]
 
 
+def kept_words(body: bytes, gone) -> tuple[int, np.ndarray, bytes]:
+    """(number of words, mask of those that go, the others joined by one space); ``gone`` makes the
+    mask from their number. Works on the text piece by piece."""
+    data = np.frombuffer(body, np.uint8)
+    n = sum(len(v) for _, v, _, _ in word_pieces(data))
+    mask, out = gone(n), []
+    for before, values, first, piece in word_pieces(data):
+        keep = ~mask[before:before + len(values)]
+        if not keep.any():
+            continue
+        inside = ~SPACE[piece]
+        word = np.cumsum(np.bincount(first, minlength=len(piece)), dtype=np.int32) - 1
+        inside &= keep[np.maximum(word, 0)]
+        text = np.append(piece, np.uint8(32))  # the byte after a kept word becomes its space
+        text[:-1][SPACE[piece]] = 32
+        take = np.append(inside, False)
+        take[1:] |= inside & ~np.append(inside[1:], False)
+        out.append(text[take].tobytes()[:-1])
+    return n, mask, b" ".join(out)
+
+
 # --- documents on the wire ------------------------------------------------------------------------
 
 def deflated(docs: DataFrame) -> DataFrame:

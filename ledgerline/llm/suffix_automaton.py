@@ -20,7 +20,8 @@ many runs is compared window by window (see ``repeats``).
 
 Defined results: null has no words; texts shorter than the window lose
 nothing; rows that repeat a doc_id count as documents in the order of their
-text; a null doc_id comes first; an empty table gives no rows; other columns
+text; a null doc_id comes first; an empty table gives no rows; a very long text is
+worked on in pieces of ``BLOCK_TOKENS`` bytes that overlap by a window; other columns
 are ignored.
 """
 
@@ -114,10 +115,11 @@ def stream_shard(table: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, hot_runs: int | None = None,
                      anchor_runs: int = R.ANCHOR_RUNS) -> DataFrame:
     """(_d, _t, start, n): runs of word windows that occur earlier."""
+    bits = R.bucket_bits(docs)
     found = stored(scanned(R.run_batches(docs, SHAPE, hot_runs), anchor_runs=anchor_runs), "found")
-    streamed = group_arrow(R.reference_rows(flagged_documents(found, docs, ["F"]), SHAPE), "bucket",
+    streamed = group_arrow(R.reference_rows(flagged_documents(found, docs, ["F"]), SHAPE, bits), "bucket",
                            stream_shard, R.SPANS)
-    hot = scanned(R.window_batches(flagged_documents(found, docs, ["H"]), SHAPE), False)
+    hot = scanned(R.window_batches(flagged_documents(found, docs, ["H"]), SHAPE, bits), False)
     return (found.where("kind = 'D'").select("_d", "_t", "start", "n").union(streamed)
             .union(hot.select("_d", "_t", "start", "n")))
 
@@ -125,8 +127,6 @@ def repeated_windows(docs: DataFrame, hot_runs: int | None = None,
 def remove(docs: DataFrame, hot_runs: int | None = None, anchor_runs: int = R.ANCHOR_RUNS) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept): kept is the words that stay, joined by one space."""
     def cut(body, marks):
-        words = body.split()  # on \x20 and \x09-\x0D
-        gone = R.gone_tokens(marks, LENGTH, len(words))
-        return len(words), gone, b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+        return R.kept_words(body, lambda n: R.gone_tokens(marks, LENGTH, n))  # words split on \x20 and \x09-\x0D
 
     return R.cut_documents(docs, repeated_windows(docs, hot_runs, anchor_runs), cut, "n_words")

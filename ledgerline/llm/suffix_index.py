@@ -49,13 +49,25 @@ class Family:
     @staticmethod
     def ranked(c: dict) -> dict:
         c = {**c, "rank": R.mix(c["kgram"]) ^ c["run"]}
-        return {k: v[np.argsort(c["rank"], kind="stable")] for k, v in c.items()}
+        return R.pick(c, np.lexsort((c["kgram"], c["rank"])))
+
+    @staticmethod
+    def places(level: dict, batch: dict) -> np.ndarray:
+        """Where each entry of the batch would stand in the level, by (rank, anchor)."""
+        last = len(level["rank"]) - 1
+        at = np.minimum(np.searchsorted(level["rank"], batch["rank"]), last)
+        while True:  # on to the entry's anchor where several have one rank (64-bit collisions)
+            there = R.pick({k: level[k] for k in ("rank", "kgram")}, at)
+            on = (there["rank"] == batch["rank"]) & (there["kgram"] < batch["kgram"]) & (at < last)
+            if not on.any():
+                return at
+            at = at + on
 
     def scan(self, batch: dict) -> list[dict]:
         """Adds a batch (runs once each); returns the later occurrences of all long matches."""
         batch, later = self.ranked(batch), []
         for i, level in enumerate(self.levels):
-            at = np.minimum(np.searchsorted(level["rank"], batch["rank"]), len(level["rank"]) - 1)
+            at = self.places(level, batch)
             there = R.pick(level, at)
             match = (there["rank"] == batch["rank"]) & (there["kgram"] == batch["kgram"]) \
                 & (there["run"] == batch["run"])
@@ -81,8 +93,7 @@ class Family:
         while len(self.levels) > 1 and size(self.levels[-1]) >= size(self.levels[-2]):
             b, a = self.levels.pop(), self.levels.pop()
             both = {k: np.concatenate([a[k], b[k]]) for k in a}
-            # two sorted runs: a stable sort merges them
-            self.levels.append(R.pick(both, np.argsort(both["rank"], kind="stable")))
+            self.levels.append(R.pick(both, np.lexsort((both["kgram"], both["rank"]))))
 
     def all(self) -> dict:
         empty = {k: np.empty(0, t) for k, t in R._ENTRY}
@@ -184,10 +195,11 @@ def window_array(table: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, hot_runs: int | None = None,
                      anchor_runs: int = R.ANCHOR_RUNS) -> DataFrame:
     """(_d, _t, start, n): runs of byte windows that occur earlier."""
+    bits = R.bucket_bits(docs)
     found = stored(scanned(R.run_batches(docs, SHAPE, hot_runs), anchor_runs=anchor_runs), "found")
-    near = group_arrow(R.reference_rows(flagged_documents(found, docs, ["F"]), SHAPE), "bucket",
+    near = group_arrow(R.reference_rows(flagged_documents(found, docs, ["F"]), SHAPE, bits), "bucket",
                        window_array, R.SPANS)
-    hot = scanned(R.window_batches(flagged_documents(found, docs, ["H"]), SHAPE), False)
+    hot = scanned(R.window_batches(flagged_documents(found, docs, ["H"]), SHAPE, bits), False)
     return (found.where("kind = 'D'").select("_d", "_t", "start", "n").union(near)
             .union(hot.select("_d", "_t", "start", "n")))
 
