@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.sequence import key_numbers
-from ledgerline.session import checkpoint_root
+from ledgerline.session import run_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word for the operators that split on white space (fixed by their contracts).
@@ -21,12 +21,13 @@ NULL_ID = -(1 << 63)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared checkpoint folder and reads it back.
+    """Writes ``df`` as Parquet to the run's folder in the shared checkpoint folder and reads it back.
 
     Used where a table is read more than once or where a long lineage would be
-    recomputed after an executor is lost.
+    recomputed after an executor is lost. ``session.clean_run`` deletes the tables of
+    a run once its results have been written.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

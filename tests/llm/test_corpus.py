@@ -413,3 +413,82 @@ def test_folds(spark):
     df = spark.createDataFrame([(0,), (7,), (None,)], "doc_id long").select(fold("doc_id", 4).alias("k"))
     import zlib
     assert [r["k"] for r in df.collect()] == [zlib.crc32(b"0") % 4, zlib.crc32(b"7") % 4, 0]
+
+
+def test_texts_with_equal_fingerprints_stay_apart(spark):
+    """With a fingerprint that collides for all texts, only equal texts form groups."""
+    rows = [(1, "A b", None, None), (2, "a B", None, None), (3, "c", None, None), (4, None, None, None),
+            (5, "", None, None), (6, "d" * 300_000, None, None), (7, "D" * 300_000, None, None)]
+    for fingerprint in (lambda c: F.length(F.lit("x")).cast("long"), lambda c: F.length(c).cast("long") % 2):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(
+            documents(spark, rows), fingerprint).collect()}
+        assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (5, 2, False), 5: (5, 2, True),
+                       6: (7, 2, False), 7: (7, 2, True)}
+
+
+def test_filter_blocks_follow_the_rows(spark, monkeypatch):
+    docs = documents(spark, [(i, f"text {i // 2}", None, None) for i in range(3000)])
+    want = sorted(map(tuple, exact_dedup.dedup(docs).collect()))
+    assert exact_dedup.block_bits(3000) == 10 and exact_dedup.block_bits(10 ** 11) == 17
+    monkeypatch.setattr(exact_dedup, "BLOCK_ROWS", 1)
+    assert exact_dedup.block_bits(3000) == 12
+    assert sorted(map(tuple, exact_dedup.dedup(docs).collect())) == want
+
+
+def test_partition_filters_merge_by_doubling():
+    import pyarrow as pa
+    rnd = np.random.default_rng(1)
+    fps = rnd.integers(0, 5000, 40_000, np.int64) << 40
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], names=["fp"]) for x in np.array_split(fps, 37)]
+    rows = [r for b in exact_dedup.partition_filters(10)(batches) for r in b.to_pylist()]
+    parts = [exact_dedup.decode(**r) for r in rows]
+    got = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    want = np.unique(fps.view(np.uint64), return_counts=True)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_mixing_buckets_follow_the_rows(spark, monkeypatch):
+    rows = [(i % 40 if i < 200 else None if i < 320 else i, f"w{i} " * (i % 7), "ab"[i % 2], None) for i in range(500)]
+    docs = documents(spark, [(i, t, None, s) for i, t, s, _ in rows])
+    want = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert mixing.bucket_digits(500) == 3 and mixing.bucket_digits(10 ** 11) == 6
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0.001)
+    assert mixing.bucket_digits(500) == 5
+    again = mixing.mix(docs)
+    assert {r["source"]: r["n"] for r in again.groupBy("source").agg(F.sum("taken").alias("n")).collect()} == want
+    goals = {r["source"]: round(r["target"]) for r in again.collect()}
+    assert want == goals  # every word of the target is taken, none twice
+    a, b = (sorted(map(str, mixing.mix(d).collect())) for d in (docs, docs.repartition(11)))
+    assert a == b  # rows that share an id, or have none, are cut alike
+
+
+def test_repeated_ids_have_many_buckets(spark):
+    docs = documents(spark, [(None if i % 2 else 7, f"text {i}", None, "s") for i in range(400)])
+    sized = mixing.sized_documents(docs)
+    many = sized.groupBy("_hash").count().where("count > 1").select("_hash", F.lit(True).alias("_many"))
+    counts = mixing.bucketed(sized, 3, many).groupBy("_bucket").count()
+    assert counts.agg(F.max("count")).first()[0] < 10
+
+
+def test_long_texts_are_labelled_in_pieces(spark, monkeypatch):
+    rnd = random.Random(4)
+    vocabulary = {"aa": "the of and house water".split(), "bb": "der die und haus wasser".split()}
+    say = lambda lang, n: " ".join(rnd.choice(vocabulary[lang]) for _ in range(n))
+    model = langid.train(documents(spark, [(i, say(lang, 40), lang, None) for i, lang in enumerate(["aa", "bb"] * 20)]))
+    texts = [say("aa", 300) + "! " + say("bb", 500), "x" * 5000, "", None, say("bb", 3), " ".join(["é1"] * 900)]
+    want = langid.label(texts, model)
+    monkeypatch.setattr(langid, "BLOCK", 64)
+    monkeypatch.setattr(langid, "pieces", lambda t, size=64: list(_pieces(t, 64)))
+    got = [langid.label([t], model)[0] for t in texts]
+    for a, b in zip(got, want):
+        assert a["lang_pred"] == b["lang_pred"] and a["spans"] == b["spans"] and a["score"] == pytest.approx(b["score"])
+
+
+_pieces = langid.pieces
+
+
+def test_pieces_cut_no_word():
+    text = "abc def, ghi " * 50 + "z" * 200 + " é"
+    parts = list(langid.pieces(text, 20))
+    assert "".join(parts) == text and len(parts) > 10
+    assert [w for p in parts for w in re.findall(r"\w+", p)] == re.findall(r"\w+", text)

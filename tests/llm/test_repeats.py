@@ -132,3 +132,53 @@ def test_suffix_automaton_statistics():
             assert automaton.statistics(tokens) == want
             automaton.add(tokens)
             held.append(tokens)
+
+
+def test_buckets_follow_the_input(spark, tmp_path, monkeypatch):
+    rows = corpus()
+    frame(spark, rows).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    least = R.bucket_bits(docs)
+    want = sorted(map(str, suffix_automaton.remove(docs).collect()))
+    monkeypatch.setattr(R, "BUCKET_BYTES", 4)
+    assert R.bucket_bits(docs) > least == R.BUCKET_BITS
+    assert sorted(map(str, suffix_automaton.remove(docs).collect())) == want
+
+
+@pytest.mark.parametrize("size", [1 << 20, 200, 7, 1])
+@pytest.mark.parametrize("op, length, split, join", [(suffix_automaton, 20, bytes.split, b" ".join),
+                                                     (suffix_index, 100, list, bytes)])
+def test_texts_in_pieces_of_any_size(monkeypatch, size, op, length, split, join):
+    """Blocks of a long text hold the same windows, and the cut gives the same bytes."""
+    monkeypatch.setattr(R, "BLOCK_TOKENS", size)
+    rnd = random.Random(size)
+    texts = [" ".join("abcé"[rnd.randrange(4)] * rnd.randint(1, 9) for _ in range(300)), "x" * 500, " \t ", "",
+             "  a  bb \n ccc  " * 60, "word " * 19, "word " * 20]
+    for text in texts:
+        body = text.encode()
+        whole = [w.tolist() for w in R.document_tokens(body, op.SHAPE)]
+        windows = {}
+        for block in R.blocks(pa.array([body], pa.binary()), op.SHAPE):
+            for i in range(len(block.values[0]) - length + 1):
+                assert block.offset + i not in windows  # each window is in one piece
+                windows[block.offset + i] = block.values[0][i:i + length].tolist()
+        n = len(split(body))
+        assert len(whole[0]) == n and windows == {i: whole[0][i:i + length] for i in range(n - length + 1)}
+        gone = np.array([rnd.random() < 0.3 for _ in range(n)], bool)
+        if op is suffix_automaton:
+            assert R.kept_words(body, lambda k: gone) [0::2] == (
+                n, b" ".join(w for w, g in zip(body.split(), gone) if not g))
+
+
+def test_equal_ranks_of_different_runs_are_told_apart():
+    """Entries whose 64-bit ranks collide inside a level are all found."""
+    def entry(kgram, run, doc):
+        return {"kgram": np.array(kgram, np.uint64), "run": np.array(run, np.uint64), "doc": np.array(doc, np.int64),
+                "tag": np.zeros(len(doc), np.int32), "start": np.zeros(len(doc), np.int64),
+                "n": np.ones(len(doc), np.uint8)}
+    grams = np.array([5, 9, 70, 1 << 40], np.uint64)
+    runs = R.mix(grams) ^ np.uint64(12345)  # one rank for all
+    family = suffix_index.Family()
+    assert family.scan(entry(grams, runs, [1, 2, 3, 4])) == []
+    later = R.joined([R.pick(x, np.argsort(x["doc"])) for x in family.scan(entry(grams[::-1], runs[::-1], [8, 7, 6, 5]))])
+    assert sorted(later["doc"].tolist()) == [5, 6, 7, 8]
