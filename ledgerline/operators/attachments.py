@@ -16,6 +16,15 @@ from ledgerline.sources.tables import Tables
 
 ALLOWED_TEXT = ", ".join(FL.ALLOWED_FILE_TYPES)
 
+# Messages of the upload checks.
+MSG_TYPE = ("Invalid type '.", f"' (allowed: {ALLOWED_TEXT})")
+MSG_SIZE = ("File too large (", f" MB > {FL.MAX_FILE_SIZE_MB} MB limit)")
+MSG_DUPLICATE = "Duplicate filename in upload"
+MSG_NAME = "Invalid filename (contains special characters)"
+MSG_FILE = ("File #", " (", "): ")
+MSG_TOO_MANY = "❌ Too many files. Maximum %d files allowed (you selected %d)"
+MSG_TOTAL = ("❌ Total size too large (", " MB)")
+
 
 def manifest_check(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Validate upload batches (batch_id, idx, filename, size).
@@ -35,21 +44,21 @@ def manifest_check(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     ext = FL.file_extension(F.col("filename"))
     errs = F.filter(F.array(
         F.when(~ext.isin(FL.ALLOWED_FILE_TYPES),
-               F.concat(F.lit("Invalid type '."), ext, F.lit(f"' (allowed: {ALLOWED_TEXT})"))),
+               F.concat(F.lit(MSG_TYPE[0]), ext, F.lit(MSG_TYPE[1]))),
         F.when(F.col("size") > FL.MAX_FILE_SIZE_BYTES,
-               F.concat(F.lit("File too large ("),
+               F.concat(F.lit(MSG_SIZE[0]),
                         F.regexp_replace(F.format_number(F.col("size") / 1024.0 / 1024.0, 1),
                                          ",", ""),
-                        F.lit(f" MB > {FL.MAX_FILE_SIZE_MB} MB limit)"))),
-        F.when(F.col("idx") > F.col("_first_idx"), F.lit("Duplicate filename in upload")),
+                        F.lit(MSG_SIZE[1]))),
+        F.when(F.col("idx") > F.col("_first_idx"), F.lit(MSG_DUPLICATE)),
         F.when(~FL.valid_filename(F.col("filename")),
-               F.lit("Invalid filename (contains special characters)"))),
+               F.lit(MSG_NAME))),
         lambda e: e.isNotNull())
     files = f.select(
         "batch_id", "idx", "filename", "size", ext.alias("extension"),
         (F.size(errs) == 0).alias("is_ok"),
-        F.when(F.size(errs) > 0, F.concat(F.lit("File #"), F.col("idx").cast("string"),
-                                          F.lit(" ("), F.col("filename"), F.lit("): "),
+        F.when(F.size(errs) > 0, F.concat(F.lit(MSG_FILE[0]), F.col("idx").cast("string"),
+                                          F.lit(MSG_FILE[1]), F.col("filename"), F.lit(MSG_FILE[2]),
                                           F.array_join(errs, ", "))).alias("error"),
         size_mb(F.col("size")).alias("size_mb"), F.upper(ext).alias("type"))
     per_batch = files.groupBy("batch_id").agg(
@@ -59,11 +68,10 @@ def manifest_check(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     batches = counts.join(per_batch, "batch_id", "left").select(
         "batch_id", "n_files",
         F.when(F.col("n_files") > FL.MAX_FILES_COUNT,
-               F.format_string("❌ Too many files. Maximum %d files allowed (you selected %d)",
-                               F.lit(FL.MAX_FILES_COUNT), F.col("n_files")))
-        .when(too_big, F.concat(F.lit("❌ Total size too large ("),
+               F.format_string(MSG_TOO_MANY, F.lit(FL.MAX_FILES_COUNT), F.col("n_files")))
+        .when(too_big, F.concat(F.lit(MSG_TOTAL[0]),
                                 F.format_number(F.col("valid_bytes") / 1024.0 / 1024.0, 1),
-                                F.lit(" MB)"))).alias("batch_error"),
+                                F.lit(MSG_TOTAL[1]))).alias("batch_error"),
         F.coalesce(F.col("n_errors"), F.lit(0)).alias("n_file_errors"))
     batches = batches.withColumn(
         "is_valid", F.col("batch_error").isNull() & (F.col("n_file_errors") == 0))
