@@ -7,8 +7,8 @@ read, without a shuffle. Term counts come from these postings. For every phrase
 the offset-adjusted posting lists of its two rarest terms are intersected; the
 few starts that survive are then checked against the postings of all other
 terms of the phrase, so a match is exact, word by word. ``proximity_matches``
-returns the places where the two rarest terms of a phrase stand in order with
-up to ``slack`` other words between than in the phrase.
+returns the places where all terms of a phrase stand in order with up to
+``slack`` other words between them.
 
 Hot terms: a posting list is never gathered; lists are joined and counted by
 (document, start) or (document, position). The benchmark side (terms and
@@ -124,19 +124,42 @@ def phrase_matches(index: Index) -> DataFrame:
 
 
 def proximity_matches(index: Index, slack: int) -> DataFrame:
-    """(phrase, _d, _t, start, gap): the two rarest terms in order, ``gap`` (0..slack) words too far."""
-    rare = stored(rarest_terms(index), "rarest")
-    ends = rare.groupBy("phrase").agg(F.min("off").alias("lo"), F.max("off").alias("hi"))
-    a = rare.join(ends, "phrase").select("phrase", "off", "lo", "hi", "term")
-    lists = index.postings.join(small(a, a.count()), "term")
-    left = lists.where("off = lo").select("phrase", "_d", "_t", (F.col("pos") - F.col("lo")).alias("start"),
-                                          (F.col("hi") - F.col("lo")).alias("_span"))
-    # the second list is spread over the slack positions it may answer: an equi-join, no range scan
-    right = lists.where("off = hi").select(
-        "phrase", "_d", "_t", F.col("pos").alias("_end"), F.col("hi").alias("_hi"),
-        F.explode(F.sequence(F.lit(0), F.lit(slack))).alias("gap"))
-    right = right.select("phrase", "_d", "_t", "gap", (F.col("_end") - F.col("_hi") - F.col("gap")).alias("start"))
-    return left.drop("_span").join(right, ["phrase", "_d", "_t", "start"])
+    """(phrase, _d, _t, start, gap): all terms of a phrase in order, with ``gap`` (0..slack) other words between.
+
+    Every place of a phrase's rarest term opens a window that any such match through it fits in. The
+    phrase's postings in that window are brought together by (document, term, block of positions), so
+    at most a window's length of them meets, however long the document or frequent the term. From each
+    place of the first term in the window, the others are taken at their next place in turn.
+    """
+    rare = stored(rarest_terms(index, 1), "rarest")
+    anchors = index.postings.join(small(rare, rare.count()), "term").select(
+        "phrase", "n", "_d", "_t", F.col("pos").alias("at"), (F.col("pos") - F.col("off") - slack).alias("lo"),
+        (F.col("pos") - F.col("off") + F.col("n") - 1 + slack).alias("hi"))
+    longest = WINDOW + 2 * slack
+    block = lambda c: F.floor(c / longest).cast("int")
+    terms = index.phrases.groupBy("phrase").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]).alias("terms"))
+    phrase_terms = index.phrases.select("phrase", "term").distinct()
+    wanted = anchors.withColumn("block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi")))))
+    wanted = wanted.join(small(phrase_terms, phrase_terms.count()), "phrase")
+    places = index.postings.withColumn("block", block(F.col("pos")))
+    window = (wanted.join(places, ["_d", "_t", "term", "block"]).where("pos between lo and hi")
+              .groupBy("phrase", "n", "_d", "_t", "at")
+              .agg(F.collect_set(F.struct("term", "pos")).alias("near")))
+    window = window.join(small(terms, rare.count()), "phrase")
+
+    def places_of(term, after):
+        return F.transform(F.filter("near", lambda x: (x["term"] == term) & (x["pos"] > after)), lambda x: x["pos"])
+
+    def end(first):
+        return F.aggregate(F.slice("terms", F.lit(2), F.size("terms")), first,
+                           lambda at, term: F.array_min(places_of(term, at)))
+
+    starts = places_of(F.element_at("terms", 1), F.lit(-1))
+    matches = F.transform(starts, lambda first: F.struct(
+        first.alias("start"), (end(first) - first - F.col("n") + 1).alias("gap")))
+    return (window.select("phrase", "_d", "_t", F.explode(matches).alias("m")).select("phrase", "_d", "_t", "m.*")
+            .where(F.col("gap").between(0, slack)).distinct())
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

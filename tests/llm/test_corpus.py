@@ -492,3 +492,35 @@ def test_pieces_cut_no_word():
     parts = list(langid.pieces(text, 20))
     assert "".join(parts) == text and len(parts) > 10
     assert [w for p in parts for w in re.findall(r"\w+", p)] == re.findall(r"\w+", text)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_proximity_matches_brute_force(spark, seed):
+    """All terms in order with up to slack words between, from every place of the first term."""
+    rnd = random.Random(seed)
+    words = "abcdefgh"
+    say = lambda n: [rnd.choice(words) for _ in range(n)]
+    items = [say(n) for n in (1, 2, 3, 3, 4, 12)] + [["z", "a"]]
+    texts = [say(n) for n in (0, 3, 40, 200, 7)] + [[*items[5][:4], "x", *items[5][4:9], "y", "y", items[5][9]], items[5]]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id int, text string")
+    docs = documents(spark, [(i, " ".join(t), None, None) for i, t in enumerate(texts)])
+    index = decontamination.build_index(docs, bench)
+    keys = {}
+    for r in index.phrases.orderBy("phrase", "off").collect():
+        keys.setdefault(r["phrase"], []).append(r["term"])
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words + "xyz"], "w string")
+              .withColumn("h", F.xxhash64("w")).collect()}
+    want = set()
+    for phrase, terms in keys.items():
+        for d, text in enumerate(texts):
+            at = [hashes[w] for w in text]
+            for first in (i for i, t in enumerate(at) if t == terms[0]):
+                end = first
+                for t in terms[1:]:
+                    end = next((j for j in range(end + 1, len(at)) if at[j] == t), None)
+                    if end is None:
+                        break
+                if end is not None and end - first - len(terms) + 1 <= 3:
+                    want.add((phrase, d, first, end - first - len(terms) + 1))
+    got = [(r["phrase"], r["_d"], r["start"], r["gap"]) for r in decontamination.proximity_matches(index, 3).collect()]
+    assert set(got) == want and len(got) == len(want) and any(g[3] for g in want)
