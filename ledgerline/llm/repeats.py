@@ -447,6 +447,10 @@ def document_tokens(body: bytes, shape: Shape) -> list:
 def kept_words(body: bytes, gone) -> tuple[int, np.ndarray, bytes]:
     """(number of words, mask of those that go, the others joined by one space); ``gone`` makes the
     mask from their number. Works on the text piece by piece."""
+    if len(body) <= BLOCK_TOKENS:
+        words = body.split()
+        mask = gone(len(words))
+        return len(words), mask, b" ".join(w for w, g in zip(words, mask.tolist()) if not g)
     data = np.frombuffer(body, np.uint8)
     n = sum(len(v) for _, v, _, _ in word_pieces(data))
     mask, out = gone(n), []
