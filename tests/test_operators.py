@@ -24,6 +24,26 @@ def test_row_numbers_match_window(spark):
         sorted(want.select("g", "id", F.col("rn").cast("long")).collect())
 
 
+def test_row_numbers_of_hot_and_small_groups(spark):
+    """Groups over the limit go by ranges, the others by a window; NULL is a group, ties get all their numbers."""
+    rows = [(None if i % 3 == 0 else i % 11, i % 400, f"v{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "g long, k int, v string").repartition(5)
+    places = {}
+    for g, k, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        at = places.setdefault(g, [])
+        at.append(k)
+    want = sorted((str(g), k, v, n + 1) for g, k, v in rows for n, x in enumerate(places[g]) if x == k)
+    for hot in (10, 100, 10 ** 6):
+        got = row_numbers(df, ["g"], ["k"], "rn", hot_rows=hot).collect()
+        assert sorted((str(r.g), r.k, r.v, r.rn) for r in got) == want
+
+
+def test_small_groups_are_numbered_after_one_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 50).alias("g"), "id", F.lit("x").alias("v"))
+    plan = row_numbers(df, ["g"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_row_numbers_global(spark):
     df = spark.range(0, 500).withColumn("k", (F.col("id") * 7919) % 500).repartition(5)
     got = row_numbers(df, [], ["k"], out="rn").select("k", "rn").collect()
