@@ -67,6 +67,13 @@ def test_recent_invoices_join_a_few_rows(t):
     assert scans(df, "purchase_invoice_payments") == 1
 
 
+def test_worklist_is_sorted_by_one_narrow_shuffle(t):
+    text = plan(worklist.uninvoiced_worklist(t))
+    assert text.count("rangepartitioning") == 1
+    below = under(text, "rangepartitioning")
+    assert "english_name" not in below and "estimated_invoice_value" not in below  # added after the shuffle
+
+
 def test_selections_are_read_once(spark, t, tmp_path):
     sel = Q.sample_selections(t)
     sel.limit(500).write.parquet(f"{tmp_path}/picked")
