@@ -38,6 +38,24 @@ def test_row_numbers_of_hot_and_small_groups(spark):
         assert sorted((str(r.g), r.k, r.v, r.rn) for r in got) == want
 
 
+def test_row_numbers_over_many_ranges(spark):
+    """Ranges keep their order in the files they are numbered from, rows that share a key included."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(2000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("g"), "id")
+        got = row_numbers(df, [], ["k", "id"], "rn").collect()
+        assert [r.rn for r in sorted(got, key=lambda r: (r.k, r.id))] == list(range(1, 2001))
+        tied = row_numbers(df, [], ["k"], "rn").collect()
+        assert sorted((r.k, r.id, r.rn) for r in tied) == sorted(
+            (k, i, 2 * k + n) for k in range(1000) for i in range(2000) if i * 7919 % 1000 == k for n in (1, 2))
+        got = row_numbers(df, ["g"], ["k", "id"], "rn", hot_rows=1).collect()
+        for g in range(3):
+            mine = sorted((r.k, r.id, r.rn) for r in got if r.g == g)
+            assert [rn for _, _, rn in mine] == list(range(1, len(mine) + 1))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_small_groups_are_numbered_after_one_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 50).alias("g"), "id", F.lit("x").alias("v"))
     plan = row_numbers(df, ["g"], ["id"])._jdf.queryExecution().executedPlan().toString()
